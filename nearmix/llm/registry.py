@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmix.llm import simhash, topk
+from nearmix.llm import decontam, langid, licenses, secrets, simhash, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_licenses,
+        "op2_language_id": langid.op2_langid,
+        "op3_token_counts": tokencount.op3_tokens,
         "op4_simhash_dedup": simhash.op4_simhash,
+        "op5_decontamination": decontam.op5_decontamination,
         "op6_exact_topk": topk.op6_topk,
+        "op8_secret_scan": secrets.op8_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": topk.OP6_SQL}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op6_exact_topk": topk.OP6_SQL,
+        "op8_secret_scan": secrets.oracle(),
+    }
