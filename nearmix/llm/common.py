@@ -62,11 +62,12 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete stored tables that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._nearmix_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.drop_path(df._nearmix_path)
+
+    def drop_path(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_texts(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmix.llm import decontam, langid, licenses, secrets, simhash, tokencount, topk
+from nearmix.llm import decontam, langid, licenses, secrets, simhash, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_dedup": simhash.op4_simhash,
         "op5_decontamination": decontam.op5_decontamination,
         "op6_exact_topk": topk.op6_topk,
+        "op7_warc": warc.op7_warc,
         "op8_secret_scan": secrets.op8_secrets,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
@@ -25,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.oracle(),
         "op6_exact_topk": topk.OP6_SQL,
+        "op7_warc": warc.OP7_SQL,
         "op8_secret_scan": secrets.oracle(),
     }
