@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmix.llm import decontam, langid, licenses, secrets, simhash, tokencount, topk, toxicity, warc
+from nearmix.llm import decontam, langid, licenses, pieces, secrets, simhash, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_topk": topk.op6_topk,
         "op7_warc": warc.op7_warc,
         "op8_secret_scan": secrets.op8_secrets,
+        "op9_sentencepiece": pieces.op9_pieces,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
