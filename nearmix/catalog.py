@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearmix.plans import corpora, mixing, neighbours
+
+_PARTS = (neighbours, mixing, corpora)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -59,8 +59,8 @@ def distance(a: Column | str, b: Column | str, metric: str) -> Column:
 
 
 def score(raw: Column, metric: str) -> Column:
-    """Larger is nearer: squared L2 is negated, products stay."""
-    return -raw if known_metric(metric) == "l2" else raw
+    """Larger is nearer: squared L2 is negated (0 stays 0, without a sign), products stay."""
+    return F.lit(0.0) - raw if known_metric(metric) == "l2" else raw
 
 
 def affine(v: Column | str, matrix: list[list[float]], bias: list[float] | None = None) -> Column:

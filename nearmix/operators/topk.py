@@ -11,7 +11,7 @@ exact and ties go to the smaller row_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +57,22 @@ class Best:
         )
 
 
-def offer_slice(best: Best, x: np.ndarray, rows: np.ndarray, q: np.ndarray, metric: str) -> None:
-    """Offer keys x to all queries q: preselect by a matrix product, compute the rest exactly."""
+def offer_slice(best: Best, x: np.ndarray, rows: np.ndarray, q: np.ndarray, metric: str, which: np.ndarray | None = None) -> None:
+    """Offer keys x to queries q: preselect by a matrix product, compute the rest exactly.
+
+    which: places of q among the queries of ``best``; all of them, if not given.
+    """
+    which = np.arange(len(q)) if which is None else which
     product = q @ x.T
     rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * product if metric == "l2" else -product
     slack = 1e-9 * (1 + np.abs(rough).max()) if rough.size else 0.0
     k = min(best.k, rough.shape[1])
     local = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    bound = np.minimum(local, best.values[:, -1]) + slack
+    bound = np.minimum(local, best.values[which, -1]) + slack
     for i in np.nonzero((rough <= bound[:, None]).any(1))[0].tolist():
         pick = np.nonzero(rough[i] <= bound[i])[0]
         exact = ((x[pick] - q[i]) ** 2).sum(1) if metric == "l2" else -(x[pick] * q[i]).sum(1)
-        best.offer(i, exact, rows[pick])
+        best.offer(int(which[i]), exact, rows[pick])
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[list]:
@@ -90,39 +94,76 @@ def merged(parts: DataFrame, k: int, metric: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "row_id", "score")
 
 
-def nearest(queries: DataFrame, keys: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
-    """queries(qid, vec), keys(row_id, vec) -> (qid, rank, row_id, score)."""
+def nearest(
+    queries: DataFrame,
+    keys: DataFrame,
+    k: int,
+    metric: str = "l2",
+    block: int = QUERY_BLOCK,
+    decode: Callable[[np.ndarray, np.ndarray | None], np.ndarray] | None = None,
+) -> DataFrame:
+    """queries(qid, vec), keys(row_id, vec) -> (qid, rank, row_id, score).
+
+    If queries have ``lists`` (an array of list numbers) and keys ``list_id``, a query meets the keys
+    of its lists only. ``decode`` makes vectors of what keys.vec holds (codes) and the list numbers.
+    Rows without a vector take no part.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     V.known_metric(metric)
     spark = keys.sparkSession
-    ready = keys.select(F.col("row_id").cast("long").alias("row_id"), V.prepared("vec", metric).alias("vec")).where("vec IS NOT NULL")
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), V.prepared("vec", metric).alias("vec")).where("vec IS NOT NULL")
-    blocks = list(_sent(spark, asked, block))
-    found = None
-    for sent in blocks:
-
-        def local(batches, sent=sent):
-            qids, q = sent.value
-            best = Best(len(qids), k)
-            for batch in batches:
-                x, rows = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-                for at in range(0, len(rows), KEY_SLICE):
-                    offer_slice(best, x[at : at + KEY_SLICE], rows[at : at + KEY_SLICE], q, metric)
-            yield best.table(qids, 1.0 if metric == "l2" else -1.0)
-
-        part = ready.mapInArrow(local, NEIGHBOURS)
-        # One block at a time stays in memory: what it found is stored before the next is read.
-        part = part if len(blocks) == 1 else materialised(part, "block")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], NEIGHBOURS)
-    return merged(found, k, metric)
-
-
-def _sent(spark, asked: DataFrame, block: int):
-    for rows in query_blocks(asked, block):
-        yield spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)))
+    listed = "lists" in queries.columns
+    stored = F.col("vec") if decode else V.prepared("vec", metric)
+    own = ["list_id"] if "list_id" in keys.columns else []
+    ready = keys.select(F.col("row_id").cast("long").alias("row_id"), stored.alias("vec"), *own).where("vec IS NOT NULL")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), V.prepared("vec", metric).alias("vec"), *(["lists"] if listed else []))
+    found, waiting = None, None
+    for rows in query_blocks(asked.where("vec IS NOT NULL"), block):
+        if waiting is not None:
+            # What a block found is stored before the next is sent.
+            stored_part = materialised(waiting, "block")
+            found = stored_part if found is None else found.unionByName(stored_part)
+        waiting = ready.mapInArrow(_local(_sent(spark, rows, listed), k, metric, decode, bool(own)), NEIGHBOURS)
+    if waiting is None:
+        return merged(spark.createDataFrame([], NEIGHBOURS), k, metric)
+    return merged(waiting if found is None else found.unionByName(waiting), k, metric)
+
+
+def _sent(spark, rows: list, listed: bool):
+    """A block of queries as a broadcast: ids, vectors and, by list, the places of the queries that ask for it."""
+    of_list = None
+    if listed:
+        of_list = {}
+        for i, r in enumerate(rows):
+            for n in r["lists"] or []:
+                of_list.setdefault(n, []).append(i)
+        of_list = {n: np.array(v, np.int64) for n, v in of_list.items()}
+    return spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64), of_list))
+
+
+def _local(sent, k: int, metric: str, decode, has_list: bool):
+    """A task's keys, batch by batch -> its k best for each query."""
+
+    def run(batches):
+        qids, q, of_list = sent.value
+        best = Best(len(qids), k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            held = matrix(batch.column(1))
+            lists = batch.column(2).to_numpy(zero_copy_only=False) if has_list else None
+            groups = [(np.arange(len(rows)), None)]
+            if of_list is not None:
+                groups = [(np.nonzero(lists == n)[0], of_list[n]) for n in np.unique(lists).tolist() if n in of_list]
+            for mine, which in groups:
+                for at in range(0, len(mine), KEY_SLICE):
+                    pick = mine[at : at + KEY_SLICE]
+                    x = held[pick] if decode is None else decode(held[pick], None if lists is None else lists[pick])
+                    offer_slice(best, x, rows[pick], q if which is None else q[which], metric, which)
+        yield best.table(qids, 1.0 if metric == "l2" else -1.0)
+
+    return run
 
 
 def reference_topk(queries: DataFrame, keys: DataFrame, k: int, metric: str = "l2") -> DataFrame:
