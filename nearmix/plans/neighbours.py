@@ -23,9 +23,9 @@ def _topk(metric: str):
     return lambda spark, sf_dir: _told(nearest(T.queries(spark, sf_dir), T.keys(spark, sf_dir), TOPK, metric))
 
 
-def flat(vec) -> F.Column:
+def flat(vec, digits: int = 4) -> F.Column:
     """A vector as text of rounded numbers, which engines can compare."""
-    return F.array_join(F.transform(vec, lambda v: F.format_string("%.4f", F.round(v, 4) + F.lit(0.0))), " ")
+    return F.array_join(F.transform(vec, lambda v: F.format_string(f"%.{digits}f", F.round(v, digits) + F.lit(0.0))), " ")
 
 
 FLAT_SQL = "array_to_string(list_transform({0}, lambda v: printf('%.4f', round(v, 4) + 0e0)), ' ')"
@@ -67,7 +67,7 @@ def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = T.codebook(spark, sf_dir)
-    return pq.decode(pq.encode(T.keys(spark, sf_dir), book), book).select("row_id", flat("vec").alias("vec"))
+    return pq.decode(pq.encode(T.keys(spark, sf_dir), book), book).select("row_id", flat("vec", T.DIGITS).alias("vec"))
 
 
 def pq_adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ SQL = {
         select=f"SELECT row_id, {FLAT_SQL.format('y')} AS rotated FROM r",
     ),
     "pq_encode": T.sql(T.K_SQL, T.CODES_SQL, select="SELECT row_id, string_agg(CAST(c AS VARCHAR), ' ' ORDER BY m) AS code FROM code GROUP BY row_id"),
-    "pq_decode": T.sql(T.K_SQL, T.CODES_SQL, _DECODED, select=f"SELECT row_id, {FLAT_SQL.format('z')} AS vec FROM dec"),
+    "pq_decode": T.sql(T.K_SQL, T.CODES_SQL, _DECODED, select=f"SELECT row_id, {FLAT_SQL.format('z').replace('4', str(T.DIGITS))} AS vec FROM dec"),
     "pq_adc_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, round(score, 6) AS score FROM adc"),
     "pq_flat_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, round(score, 6) AS score FROM adc"),
     "ivf_assign": T.sql(T.K_SQL, T.MEANS_SQL, _ASSIGN, select="SELECT row_id, list_id FROM posted"),
