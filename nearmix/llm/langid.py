@@ -163,11 +163,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.12) -> DataFrame:
-    """Drop documents that are no text in a known language: ``und``, or a cosine below ``least``.
+def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.1, letters: int = 200) -> DataFrame:
+    """Drop documents that are no text in a known language.
 
-    The bound lies far below the cosine of the shortest sentences (see tests), so only rows such
-    as digits, markup remains or random strings go.
+    Those without a letter (``und``) go, and those of at least ``letters`` letters whose cosine is
+    below ``least``: that many letters of any text bring the cosine of its language far above it,
+    while a few words of clean text may lie below and so stay.
     """
     langs, prototypes = train(docs)
     at = docs.columns.index("text")
@@ -176,8 +177,9 @@ def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float
         predict = predictor(langs, prototypes)
 
         def step(batch: pa.RecordBatch):
-            names, scores = predict(batch.column(at).to_pylist())
-            keep = [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
+            texts = batch.column(at).to_pylist()
+            names, scores = predict(texts)
+            keep = [n != "und" and (s >= least or sum(map(len, _LETTERS.findall(t))) < letters) for t, n, s in zip(texts, names, scores, strict=True)]
             return batch.filter(pa.array(keep, pa.bool_()))
 
         return step
