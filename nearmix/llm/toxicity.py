@@ -4,14 +4,14 @@ The ordinary dictionary is trained by the library's cover algorithm on windows o
 documents. The toxic dictionary is that content plus segments of toxic documents, picked as a
 cover algorithm picks them - by how many bytes they save over how many occurrences, greedily, each
 choice discounting what earlier ones cover - but with contrast: only segments that ordinary
-documents hold RATIO times more rarely. Occurrences are counted by the word before them, so copies
-of a document count once. With the ordinary part shared and of equal place, the two lengths of a
+documents hold RATIO times more rarely. A segment needs support by documents and by the words
+before it, so neither one long document nor copies of a document make one. With the ordinary part shared and of equal place, the two lengths of a
 window differ only where toxic segments save bytes; a plain pair of trained dictionaries separates
 the classes much worse (see the README).
 
 A whole text is read as windows of WINDOW words; each window is compressed with either dictionary,
-and the saved bytes of the windows make a document's features: the share and the number of windows
-that save SAVED bytes or more, and the largest saving. Their logistic regression, fitted on
+and the saved bytes of the windows make a document's features: the largest saving, shares and
+numbers of windows that save at least so much, and the number of windows. Their logistic regression, fitted on
 labelled documents that the dictionaries haven't seen and weighted to the labels' own rate of
 toxic rows, is the calibrated score.
 
@@ -26,6 +26,7 @@ scored, not held out and not learnt from; of several labels of an id the largest
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -39,8 +40,10 @@ from nearmix.llm.common import held_out, learnable, map_texts, table
 TOXIC, ORDINARY = 1200, 3000
 LONGEST = 100_000
 WINDOW = 16
-SAVED = 2
-RATIO = 20
+#: A toxic segment is so many times as frequent in toxic documents as in ordinary ones, and in this share and number of them.
+RATIO = 5
+SHARE, LEAST = 0.03, 6
+CONTEXTS = 4096
 BASE_BYTES = 32_768
 THRESHOLD = 0.3
 _SHORT, _LONG = 4, 10
@@ -57,33 +60,46 @@ def _stems(word: str) -> set[str]:
 
 
 def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Segments of toxic documents that save most and that ordinary documents hold RATIO times more rarely."""
-    least = max(3, math.ceil(0.01 * len(toxic)))
-    contexts: dict[str, set[str]] = defaultdict(set)
-    for text in toxic:
+    """Segments of toxic documents that save most and that ordinary documents hold RATIO times more rarely.
+
+    The support of a segment is the number of documents that hold it or of words that precede it,
+    whichever is smaller: one long document counts once by the first, copies by the second. Both
+    are sets as bits, preceding words dealt to CONTEXTS bits by their hashes.
+    """
+    least = max(LEAST, math.ceil(SHARE * len(toxic)))
+    docs: dict[str, int] = defaultdict(int)
+    contexts: dict[str, int] = defaultdict(int)
+    for i, text in enumerate(toxic):
         before = ""
         for w in text.lower().split():
-            contexts[w].add(before)
+            docs[w] |= 1 << i
+            contexts[w] |= 1 << zlib.crc32(before.encode("utf-8", "surrogatepass")) % CONTEXTS
             before = w
     ordinary_words: Counter = Counter()
     for text in ordinary:
         ordinary_words.update(set(text.lower().split()))
-    scale = len(toxic) / max(len(ordinary), 1)
-    rare = {w: c for w, c in contexts.items() if len(c) > RATIO * scale * ordinary_words[w]}
+    scale = RATIO * len(toxic) / max(len(ordinary), 1)
+    rare = {w for w, d in docs.items() if d.bit_count() > scale * ordinary_words[w]}
     held: dict[str, list[str]] = defaultdict(list)
     for w in rare:
         for s in _stems(w):
             held[s].append(w)
-    held = {s: ws for s, ws in held.items() if sum(len(rare[w]) for w in ws) >= least}
+
+    def support(words) -> int:
+        d = c = 0
+        for w in words:
+            d |= docs[w]
+            c |= contexts[w]
+        return min(d.bit_count(), c.bit_count())
+
+    supported = {s: n for s, ws in held.items() if (n := support(ws)) >= least}
     common: Counter = Counter()
     for w, n in ordinary_words.items():
         for s in _stems(w):
-            if s in held:
+            if s in supported:
                 common[s] += n
-    held = {s: ws for s, ws in held.items() if sum(len(rare[w]) for w in ws) > RATIO * scale * common[s]}
+    weights = {s: n for s, n in supported.items() if n > scale * common[s]}
     gone: set[str] = set()
-    weigh = lambda s: len(set().union(*[rare[w] for w in held[s] if w not in gone]))
-    weights = {s: weigh(s) for s in held}
     kept: list[str] = []
     while weights:
         value, best = max(((n * (len(s) - 2.5), s) for s, n in weights.items() if n >= least), default=(0, ""))
@@ -93,7 +109,7 @@ def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
         new = set(held[best]) - gone
         gone |= new
         for s in {s for w in new for s in _stems(w) if s in weights}:
-            weights[s] = weigh(s)
+            weights[s] = support(w for w in held[s] if w not in gone)
     return kept
 
 
@@ -128,13 +144,14 @@ class Scorer:
         )
         return zstandard.ZstdCompressor(dict_data=words, compression_params=how).compress
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """The largest saving, shares and numbers of windows by what they save, and how many windows there are."""
         plain, toxic = self.compress
         saved = [len(plain(w)) - len(toxic(w)) for w in windows(text)]
-        if not saved:
-            return 0.0, 0.0, 0.0
-        n = sum(s >= SAVED for s in saved)
-        return n / len(saved), math.log1p(n), max(0.0, min(float(max(saved)), 12.0)) / 4
+        n = max(len(saved), 1)
+        above = lambda least: sum(s >= least for s in saved)
+        most = max(0.0, min(float(max(saved, default=0)), 16.0))
+        return most / 4, above(2) / n, above(3) / n, math.log1p(above(3)), math.log1p(above(5)), math.log(n) / 3
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
