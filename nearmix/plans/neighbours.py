@@ -126,15 +126,15 @@ def kmeans_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = T.keys(spark, sf_dir)
     fitted = train.kmeans(train.sample(keys), 16)
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted)], "list_id int, centroid array<double>")
-    return _told(ivf.search(T.queries(spark, sf_dir), ivf.postings(keys, centroids), centroids, TOPK, 8))
+    return _told(ivf.search(T.queries(spark, sf_dir), ivf.postings(keys, centroids), centroids, TOPK, 12))
 
 
 def opq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asymmetric search behind a rotation that was fitted with the codebook."""
     keys = T.keys(spark, sf_dir)
     x = train.sample(keys)
-    a = train.rotation(x, T.N_SUB, T.DIM, 32, turns=3)
-    book = train.codebook(x @ a.T, T.N_SUB, 32)
+    a = train.rotation(x, T.DIM, T.DIM, 64, turns=1)
+    book = train.codebook(x @ a.T, T.DIM, 64)
     codes = pq.encode(transform.apply(keys, a), book)
     return _told(pq.nearest_by_table(transform.apply(T.queries(spark, sf_dir), a, key="qid"), codes, book, TOPK))
 
