@@ -147,7 +147,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str =
     Only documents with a candidate are shuffled; n_chars follows the text where it changes.
     """
     maybe = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p in {**BASE, **WEAK}.values())), F.lit(False))
-    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
+    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
     hit = docs.where(maybe).withColumn("_text", F.xxhash64("text"))
     hit = hit.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -165,11 +165,11 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str =
         )
         return grown
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    new = F.when(F.col("spans").isNotNull(), done).otherwise(text)
+    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    new = F.when(F.col("_spans").isNotNull(), done).otherwise(text)
     changed = hit.withColumn("text", new)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.where(~maybe).unionByName(changed.select(*docs.columns))
 
 
