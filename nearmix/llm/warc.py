@@ -116,6 +116,8 @@ def parse(archive: bytes):
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record does not begin where the one before ends")
         fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+        if "content-length" not in fields:
+            raise ValueError("a record doesn't tell its length")
         begin = end + 4
         stop = begin + int(fields["content-length"])
         if archive[stop : stop + 4] != b"\r\n\r\n":
