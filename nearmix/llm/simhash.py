@@ -18,7 +18,16 @@ Shards
     number of distinct fingerprints, so that shards of unrelated texts stay small.
     ``similarity``: radii that no pigeonhole covers. Keys are groups of min-hashes over the
     same shingles; a pair of that Jaccard similarity misses all of them with a probability of
-    at most ``miss``.
+    at most ``miss``. The trees then only find candidates: the radius is wide enough that such
+    a pair is beyond it with a probability of at most ``miss``, and what they link, a cluster,
+    is compared again shingle set by shingle set. Only pairs whose sets have the similarity
+    become edges. Fingerprints are of the sets here, so that the two measures agree.
+
+Verification
+    A node is a distinct shingle set. Clusters up to BLOCK_ROWS are compared in one task each.
+    Larger ones are first dealt twice at random to blocks, which links a dense group; then all
+    nodes outside the cluster's largest linked part are held against every other block, so no
+    candidate pair is left out. That step is quadratic in what stays unlinked.
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero and
 link like any other; a text with fewer words than a shingle is one shingle. Repeated rows give
@@ -29,7 +38,7 @@ is not null (null if there is none). An empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, cos, log, pi
+from math import ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +56,8 @@ SHARD_ROWS = 64
 TREE_ROWS = 128
 #: Shards of min-hash keys above this are dealt again by a second key.
 HOT_ROWS = 1024
+#: Shingle sets of a cluster that a block of the verification holds.
+BLOCK_ROWS = 256
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -105,16 +116,34 @@ def groups_for(similarity: float, rows: int = 2, miss: float = 1e-4) -> int:
     return ceil(log(miss) / log(1 - similarity**rows))
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which a pair of that Jaccard similarity is expected to differ, sets of equal size assumed."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * np.arccos(cosine) / pi)
+def differing(common: int, only_a: int, only_b: int) -> float:
+    """Chance that a majority bit differs between two sets with so many common and own hashes."""
+    ways = 0
+    for both in range(common + 1):
+        above = sum(comb(only_a, x) for x in range(only_a + 1) if 2 * (both + x) > common + only_a)
+        beyond = sum(comb(only_b, y) for y in range(only_b + 1) if 2 * (both + y) > common + only_b)
+        apart = above * (2**only_b - beyond) + beyond * (2**only_a - above)
+        ways += comb(common, both) * apart
+    return ways / 2 ** (common + only_a + only_b)
+
 
+def radius_for(similarity: float, bits: int, miss: float = 1e-4) -> int:
+    """Smallest distance that two sets of that Jaccard similarity exceed with a chance of ``miss`` at most.
 
-def similarity_of(distance: int, bits: int) -> float:
-    """Jaccard similarity that a distance stands for."""
-    cosine = cos(pi * distance / bits)
-    return max(0.0, cosine / (2 - cosine))
+    A bit differs as often as in the worst case over small sets (up to 32 common hashes) and
+    over large ones, where the chance tends to the angle between the sets. Unequal sizes have
+    the smaller angle.
+    """
+    worst = float(np.arccos(2 * similarity / (1 + similarity)) / pi)
+    for common in range(1, 33):
+        own = int(common * (1 - similarity) / similarity + 1e-9)
+        worst = max([worst, *(differing(common, a, t - a) for t in range(own + 1) for a in range(t // 2 + 1))])
+    beyond = 1.0
+    for radius in range(bits):
+        beyond -= comb(bits, radius) * worst**radius * (1 - worst) ** (bits - radius)
+        if beyond <= miss:
+            return radius
+    return bits
 
 
 class BKTree:
@@ -225,8 +254,8 @@ def link_shard(values: list[int], radius: int, divide: bool = True) -> list[tupl
 
 
 def _shard_links(radius: int, bits: int, divide: bool):
-    """Batches (key, w0..) sorted by key -> star edges of each shard (fingerprints as bytes)."""
-    lanes = bits // 64
+    """Batches (key, node) sorted by key -> star edges of each shard; a node is a fingerprint's bytes and any more that tell it apart."""
+    width = bits // 8
 
     def run(batches):
         key, members = None, []
@@ -235,10 +264,14 @@ def _shard_links(radius: int, bits: int, divide: bool):
 
         def flush():
             if len(members) > 1:
-                values = sorted(set(members))
-                for a, b in link_shard(values, radius, divide):
-                    out_u.append(a.to_bytes(lanes * 8, "big"))
-                    out_v.append(b.to_bytes(lanes * 8, "big"))
+                first: dict[int, bytes] = {}
+                for node in sorted(set(members)):
+                    if (low := first.setdefault(int.from_bytes(node[:width], "big"), node)) != node:
+                        out_u.append(node)
+                        out_v.append(low)
+                for a, b in link_shard(list(first), radius, divide):
+                    out_u.append(first[a])
+                    out_v.append(first[b])
 
         def emit():
             batch = pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary())], names=["u", "v"])
@@ -253,7 +286,7 @@ def _shard_links(radius: int, bits: int, divide: bool):
                 if k != key:
                     flush()
                     key, members = k, []
-                members.append(int.from_bytes(f, "big"))
+                members.append(f)
             if len(out_u) > 20_000:
                 yield emit()
         flush()
@@ -294,23 +327,131 @@ def _block_keys(radius: int, bits: int, m: int):
 
 
 def _prints(words: int, bits: int, groups: int, rows: int):
+    """Batches of texts -> (doc_id, fp), with groups also (keys, shingles), and fp is of the set and ends in its digest."""
+
     def step(batch: pa.RecordBatch):
-        fps, keys = [], []
+        fps, keys, sets = [], [], []
         for text in batch.column(1).to_pylist():
             h = shingle_hashes(text, words)
-            fps.append(b"".join(x.to_bytes(8, "big") for x in reversed(fingerprint(h, bits))))
             if groups:
-                keys.append(minhash_keys(np.unique(h), groups, rows))
+                h = np.unique(h)
+            fp = b"".join(x.to_bytes(8, "big") for x in reversed(fingerprint(h, bits)))
+            if groups:
+                sets.append(h.tobytes())
+                fp += xxhash.xxh3_128_digest(sets[-1], SEED)
+                keys.append(minhash_keys(h, groups, rows))
+            fps.append(fp)
         arrays = [batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())]
         names = ["doc_id", "fp"]
         if groups:
-            arrays.append(pa.array(keys, pa.list_(pa.int64())))
-            names.append("keys")
+            arrays += [pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            names += ["keys", "shingles"]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return lambda: step
 
 
+def link_sets(nodes: list[bytes], sets: list[np.ndarray], known: list[bytes], radius: int, similarity: float, bits: int) -> list[tuple[bytes, bytes]]:
+    """Star edges (node, smallest of its local component) among nodes whose sets have the similarity.
+
+    Nodes of one ``known`` label are linked already. Sets are sorted and without repeats.
+    """
+    links = _Sets()
+    first: dict[bytes, bytes] = {}
+    for x, label in zip(nodes, known, strict=True):
+        links.join(first.setdefault(label, x), x)
+    prints = np.frombuffer(b"".join(x[: bits // 8] for x in nodes), np.uint64).reshape(len(nodes), -1)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for i in range(1, len(nodes)):
+        fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9
+        away = np.bitwise_count(prints[:i] ^ prints[i]).sum(1, dtype=np.int64)
+        near = np.nonzero(fits & (away <= radius))[0]
+        for j in near[np.argsort(away[near], kind="stable")].tolist():
+            if links.root(nodes[i]) == links.root(nodes[j]):
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9:
+                links.join(nodes[i], nodes[j])
+    return [(x, r) for x in nodes if (r := links.root(x)) != x]
+
+
+def _block_links(radius: int, similarity: float, bits: int):
+    """Batches (label, part, fp, known, shingles) sorted by label and part -> verified edges of each part."""
+
+    def run(batches):
+        now, nodes, sets, known = None, [], [], []
+        found: list[tuple[bytes, bytes]] = []
+
+        def flush():
+            if len(nodes) > 1:
+                found.extend(link_sets(nodes, sets, known, radius, similarity, bits))
+            for held in (nodes, sets, known):
+                held.clear()
+
+        def emit():
+            arrays = [pa.array([e[i] for e in found], pa.binary()) for i in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["u", "v"])
+
+        for batch in batches:
+            for label, part, fp, mark, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, part) != now:
+                    flush()
+                    now = (label, part)
+                nodes.append(fp)
+                sets.append(np.frombuffer(shingles, np.uint64))
+                known.append(mark)
+            if len(found) > 20_000:
+                yield emit()
+        flush()
+        yield emit()
+
+    return run
+
+
+def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius: int, similarity: float, bits: int, scratch: Scratch) -> DataFrame:
+    """clusters(node, label) of candidates -> edges (u, v) of pairs in one cluster that have the similarity."""
+    counts = clusters.groupBy("label").agg(F.count("*").alias("n"))
+    members = clusters.join(counts, "label").join(nodes.selectExpr("fp AS node", "row"), "node")
+    sets = members.join(prints.select("row", "shingles"), "row").selectExpr("node AS fp", "label", "n", "shingles")
+    sets = scratch.store(sets, "sets")
+    links = _block_links(radius, similarity, bits)
+
+    def compared(parts: DataFrame) -> DataFrame:
+        dealt = parts.select("label", "part", "fp", "known", "shingles").repartition("label", "part").sortWithinPartitions("label", "part", "fp")
+        return dealt.mapInArrow(links, "u binary, v binary")
+
+    spot = lambda seed, n: F.pmod(F.xxhash64("fp", F.lit(seed)), F.greatest(n, F.lit(1)))
+    spread = F.ceil(F.col("n") / BLOCK_ROWS)
+    deals = F.when(F.col("n") <= BLOCK_ROWS, F.array(F.lit("0"))).otherwise(
+        F.array(*(F.concat_ws("/", F.lit(d), spot(d, spread)) for d in (1, 2)))
+    )
+    edges = scratch.store(compared(sets.withColumn("known", F.col("fp")).withColumn("part", F.explode(deals))), "verified")
+    large = sets.where(F.col("n") > BLOCK_ROWS)
+    if large.isEmpty():
+        return edges
+    linked = scratch.store(components(edges, scratch).selectExpr("node AS fp", "label AS known"), "known")
+    marked = large.select("fp", "label", "n").join(linked, "fp", "left").select("fp", "label", "n", F.coalesce("known", "fp").alias("known"))
+    marked = scratch.store(marked, "marked")
+    sizes = marked.groupBy("label", "n", "known").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("label", "n").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.max("size").alias("held"))
+    main = scratch.store(main.where("held < n").drop("n"), "main")
+    if main.isEmpty():
+        return edges
+    todo = large.join(main, "label").join(marked.select("fp", "known"), "fp")
+    inner, outer = F.ceil(F.col("held") / BLOCK_ROWS), F.ceil((F.col("n") - F.col("held")) / BLOCK_ROWS)
+    own_g, own_r = spot(3, inner), spot(3, outer)
+    g = lambda i, j: F.concat_ws("/", F.lit("g"), i, j)
+    r = lambda i, j: F.concat_ws("/", F.lit("r"), F.least(i, j), F.greatest(i, j))
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0).cast("long"), inner - 1), lambda i: g(i, own_r)),
+        F.transform(F.sequence(F.lit(0).cast("long"), outer - 1), lambda i: r(i, own_r)),
+    )
+    inside = F.transform(F.sequence(F.lit(0).cast("long"), outer - 1), lambda j: g(own_g, j))
+    parts = F.explode(F.when(F.col("known") == F.col("main"), inside).otherwise(outside))
+    return edges.unionByName(scratch.store(compared(todo.withColumn("part", parts)), "verified"))
+
+
 def _divide_hot(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """Deal each shard of more than HOT_ROWS members again by all other keys of its members.
 
@@ -337,20 +478,23 @@ def simhash_components(
 ) -> DataFrame:
     """docs(doc_id, text, ..) -> (doc_id, fp binary, component_id), one row per row of docs.
 
-    With ``similarity`` the radius is the distance that it stands for and shards come from
-    min-hashes; else shards come from blocks of the fingerprint and no pair is missed.
+    With ``similarity`` texts link when their shingle sets have that Jaccard similarity; a pair
+    is missed with a chance of at most ``miss`` by the min-hashes and again by the radius. Else
+    shards come from blocks of the fingerprint and no pair is missed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     groups = rows = 0
     if similarity is not None:
-        rows, radius = 2, radius_for(similarity, bits)
+        rows, radius = 2, radius_for(similarity, bits, miss)
         groups = groups_for(similarity, rows, miss)
-    schema = "doc_id long, fp binary" + (", keys array<long>" if groups else "")
-    prints = scratch.store(map_texts(docs, ["doc_id", "text"], schema, _prints(words, bits, groups, rows)), "prints")
-    nodes = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    schema = "doc_id long, fp binary" + (", keys array<long>, shingles binary" if groups else "")
+    prints = map_texts(docs, ["doc_id", "text"], schema, _prints(words, bits, groups, rows))
+    prints = scratch.store(prints.withColumn("row", F.monotonically_increasing_id()) if groups else prints, "prints")
+    lowest = [F.min("doc_id").alias("first"), *([F.min("row").alias("row")] if groups else [])]
+    nodes = scratch.store(prints.groupBy("fp").agg(*lowest), "nodes")
     if groups:
-        # Equal fingerprints nearly always have equal keys; each distinct (key, fp) is one row.
+        # Equal sets have equal keys; each distinct (key, fp) is one row.
         keyed = scratch.store(prints.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp"), "keyed")
         keyed = _divide_hot(keyed, scratch)
     else:
@@ -358,12 +502,16 @@ def simhash_components(
         keyed = map_texts(nodes, ["fp"], "key binary, fp binary", _block_keys(radius, bits, m), 4096)
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
     edges = dealt.mapInArrow(_shard_links(radius, bits, not groups), "u binary, v binary")
-    labels = scratch.store(components(edges, scratch).join(nodes.withColumnRenamed("fp", "node"), "node"), "labels")
+    if groups:
+        clusters = scratch.store(components(edges, scratch), "clusters")
+        edges = _verified(clusters, prints, nodes, radius, similarity, bits, scratch)
+    labels = scratch.store(components(edges, scratch).join(nodes.selectExpr("fp AS node", "first"), "node"), "labels")
     firsts = scratch.store(labels.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
     linked = scratch.store(labels.join(firsts, "label").select(F.col("node").alias("fp"), "component_id"), "linked")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     classes = scratch.store(classes, "classes")
-    return prints.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id")
+    fp = F.substring("fp", 1, bits // 8).alias("fp")
+    return prints.select("doc_id", "fp").join(classes, "fp").select("doc_id", fp, "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,12 +519,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.75, bits: int = 256) -> DataFrame:
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """Keep one document of each near-duplicate group: the smallest doc_id, one row of it.
 
-    Five-word shingles and 256 bits; two texts link when their distance is the one expected at a
-    Jaccard similarity of 0.75, so that pairs of 0.8 and more are linked despite the sampling
-    error of a fingerprint (about 0.04). Rows with a null doc_id stay.
+    Two texts link when the sets of their five-word shingles have a Jaccard similarity of 0.8 or
+    more. Fingerprints of 256 bits find the candidates and miss a pair of 0.8 with a chance of
+    at most 2 in 10,000 (see ``simhash_components``). Rows with a null doc_id stay.
     """
     found = simhash_components(docs, words=words, bits=bits, similarity=similarity, name="dedup")
     scratch = Scratch(spark, "dedup-out")

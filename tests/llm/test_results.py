@@ -126,6 +126,63 @@ def test_dedup_stage(spark):
         assert max((s for p, s in similarity.items() if i in p), default=0) >= 0.5
 
 
+def _mutated(rng, n: int, share: float, name: str) -> tuple[str, str]:
+    """Two texts of n five-word shingles, the second changed word by word at its end until the Jaccard similarity falls to share."""
+    words = [f"{name}{x}" for x in rng.integers(0, 10**9, n + 4)]
+    changed = list(words)
+    for i in range(len(words) - 1, -1, -1):
+        after = [*changed[:i], f"{name}x{i}", *changed[i + 1 :]]
+        a, b = _shingles(" ".join(words)), _shingles(" ".join(after))
+        if len(a & b) / len(a | b) < share:
+            break
+        changed = after
+    return " ".join(words), " ".join(changed)
+
+
+def test_dedup_stage_verifies(spark, monkeypatch):
+    """Exactly the pairs of 0.8 and more link: planted pairs just above are all dropped, those of 0.7 all kept."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for at, share in ((0, 0.8), (1000, 0.7)):
+        for i in range(60):
+            docs += zip((at + 2 * i, at + 2 * i + 1), _mutated(rng, 60, share, f"d{at}n{i}w"), strict=True)
+    for i in range(30):
+        words = [f"t{x}" for x in range(60)]
+        words[-8:] = [f"t{i}own{x}" for x in range(8)]
+        docs.append((2000 + i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {i: _shingles(t) for i, t in docs}
+    up = {i: i for i in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b]):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    want = {i for i in texts if root(i) == i}
+    assert {i for i in texts if 1000 <= i} <= want and len(want) == len(texts) - 60
+    for rows in (256, 8):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        assert {r["doc_id"] for r in simhash.dedup_stage(spark, df, None).select("doc_id").collect()} == want
+
+
+def test_radius_misses_few():
+    """Sets of one Jaccard similarity lie within the radius but for a small chance, small sets too."""
+    rng = np.random.default_rng(4)
+    radius = simhash.radius_for(0.8, 256)
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (400, 50, 50)):
+        beyond = 0
+        for _ in range(500):
+            h = rng.integers(0, 2**64, common + a + b, np.uint64)
+            x, y = (simhash.fingerprint(s, 256) for s in (h[: common + a], np.concatenate([h[:common], h[common + a :]])))
+            beyond += sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) > radius
+        assert beyond <= 1
+
+
 def test_masks_catch_substitutions():
     """12 tokens with 2 substitutions and 16 with 3 hold a hit of some mask."""
     for n, wrong in ((12, 2), (16, 3)):
