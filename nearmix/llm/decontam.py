@@ -6,26 +6,31 @@ masks are hashed at every place of every benchmark item and of every training te
 are joined, and around each hit the item is laid over the text at the offset of the hit and
 compared token by token.
 
-Overlap: the item's best stretch at that offset, token by token, in which matches outnumber
-substitutions so far (+1 for a match, -2 for a substitution, never below 0; the longest of the
-best). An item counts as leaked when the stretch holds at least ``share`` of the item's tokens
-as matches. Benchmark tables are small beside a corpus but not bounded: items are dealt in
+Overlap: at each offset, the item's stretches in which matches outnumber substitutions (+1 for a
+match, -2 for a substitution, never below 0; each up to its highest score), of at least
+LEAST_STRETCH matches. Stretches at other offsets are joined to a chain where they follow each other
+in the item and in the text, with at most as many text tokens between them as the item has; what
+two of them share counts once. So words inserted or left out don't split an item. An item counts
+as leaked when its chain with most matches holds at least ``share`` of the item's tokens as
+matches, or when one stretch alone holds RUN matches, however long the item. Items below
+``least`` tokens leak only when the text holds all their tokens in a row; the hash of the whole
+item finds them. Benchmark tables are small beside a corpus but not bounded: items are dealt in
 blocks of BLOCK_TOKENS tokens, each block's hash table is broadcast, and every text is held
 against each block.
 
 Guarantee: 12 tokens with 2 substitutions anywhere, and 16 with 3, hold a hit of one of the
-masks (shown by enumeration in the tests), so an item leaked at no worse a rate over some such
-run of its tokens is found. Items shorter than that, down to ``least`` tokens, are found if 5
-tokens in a row are equal; items below ``least`` tokens never leak.
+masks (shown by enumeration in the tests), so a stretch at no worse a rate over some such run of
+its tokens is found. Shorter ones are found if 5 tokens in a row are equal.
 
 Defined results: tokens are runs of letters and digits in lower case; null and empty texts and
 items leak nothing; repeated rows give repeated result rows; repeated item ids are one item
-each; null ids stay null. One row per (text, item), its best offset (most matches, then the
-first).
+each; null ids stay null. One row per (text, item), its chain with most matches, then the first.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,6 +41,10 @@ from pyspark.sql import functions as F
 from nearmix.llm.common import map_texts, table
 
 MASKS = ("11111", "1101011", "11100101")
+#: Matches that a stretch of a chain needs, those of a mask's ones (fewer where ``share`` of the item is less).
+LEAST_STRETCH = 5
+#: Matches of one stretch that make a leak of an item of any length.
+RUN = 25
 #: Benchmark tokens whose seeds one broadcast holds: 3 seeds of 16 bytes each, so 50 MB.
 BLOCK_TOKENS = 1 << 20
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
@@ -68,23 +77,56 @@ def seeds(tokens: np.ndarray, mask: str, which: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for place, bit in enumerate(mask):
             if bit == "1":
-                h = (h ^ tokens[place : place + n]) * _MULTIPLIERS[place]
+                h = (h ^ tokens[place : place + n]) * _MULTIPLIERS[place % 16]
                 h ^= h >> np.uint64(29)
     return h
 
 
-def stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, matches) of the best-scoring stretch of a comparison."""
-    best = (0, 0, 0, 0)
-    score = begin = matches = 0
-    for i, e in enumerate(equal.tolist()):
-        if score == 0:
-            begin, matches = i, 0
-        score = score + 1 if e else max(0, score - 2)
-        matches += e
-        if e and (score, i + 1 - begin) > (best[0], best[2] - best[1]):
-            best = (score, begin, i + 1, matches)
-    return best[1:]
+def stretches(equal: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, end, matches) of the disjoint stretches of a comparison that each end at their highest score."""
+    found, hits = [], equal.tolist()
+    i, n = 0, len(hits)
+    while i < n:
+        if not hits[i]:
+            i += 1
+            continue
+        begin, score, matches = i, 0, 0
+        best = (0, i, 0)
+        while i < n:
+            score += 1 if hits[i] else -2
+            matches += hits[i]
+            i += 1
+            if score <= 0:
+                break
+            if hits[i - 1] and score >= best[0]:
+                best = (score, i, matches)
+        found.append((begin, best[1], best[2]))
+        i = best[1]
+    return found
+
+
+def chain(parts: list[tuple[int, int, int, np.ndarray]], gap: int) -> tuple[int, int, int, int]:
+    """(matches, begin and end in the item, offset of its first part) of the chain with most matches.
+
+    A part is (begin, end, offset, running sum of matches by place in the item).
+    """
+    parts = sorted(parts, key=lambda p: (p[0] + p[2], p[0], p[1]))
+    best: list[tuple[int, int, int, int]] = []
+    reach = 0
+    for i, (begin, end, offset, sums) in enumerate(parts):
+        own = (int(sums[end] - sums[begin]), begin, end, offset)
+        while parts[reach][1] + parts[reach][2] + gap < begin + offset and reach < i:
+            reach += 1
+        for j in range(reach, i):
+            _, end_j, offset_j, _ = parts[j]
+            if end_j >= end or end_j + offset_j >= end + offset or end_j + offset_j + gap < begin + offset:
+                continue
+            start = max(begin, end_j, end_j + offset_j - offset)
+            joined = best[j][0] + int(sums[end] - sums[start])
+            if joined > own[0]:
+                own = (joined, best[j][1], end, best[j][3])
+        best.append(own)
+    return max(best, key=lambda c: c[0])
 
 
 class Block:
@@ -92,9 +134,13 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: int):
         hasher = TokenHasher()
-        kept = [(i, t) for i, t in ((i, hasher(text)) for i, text in items) if len(t) >= least]
-        self.ids, self.tokens = [i for i, _ in kept], [t for _, t in kept]
-        parts = [(seeds(t, m, w), k, len(m)) for k, t in enumerate(self.tokens) for w, m in enumerate(MASKS)]
+        kept = [(i, t) for i, t in ((i, hasher(text)) for i, text in items) if len(t)]
+        self.ids, self.tokens, self.least = [i for i, _ in kept], [t for _, t in kept], least
+        #: The masks by number; an item below ``least`` tokens has one of its own length, without zeros.
+        whole = {n: len(MASKS) + n for n in {len(t) for t in self.tokens} if n < least}
+        self.masks = {**dict(enumerate(MASKS)), **{w: "1" * n for n, w in whole.items()}}
+        of = lambda t: [whole[len(t)]] if len(t) in whole else range(len(MASKS))
+        parts = [(seeds(t, self.masks[w], w), k, len(self.masks[w])) for k, t in enumerate(self.tokens) for w in of(t)]
         parts = [p for p in parts if len(p[0])]
         self.hashes = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
         self.item = np.concatenate([np.full(len(p[0]), p[1], np.int64) for p in parts]) if parts else np.empty(0, np.int64)
@@ -110,7 +156,7 @@ class Block:
         """(item index, matches, begin and end in the item, token offset of the item in the text, length)."""
         offsets: set[tuple[int, int]] = set()
         low = np.uint64((1 << self.bits) - 1)
-        for w, mask in enumerate(MASKS):
+        for w, mask in self.masks.items():
             h = seeds(tokens, mask, w)
             at = np.nonzero(self.filter[(h & low).astype(np.int64)])[0]
             if not len(at):
@@ -119,14 +165,31 @@ class Block:
             for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
                 for j in range(a, b):
                     offsets.add((int(self.item[j]), p - int(self.place[j])))
-        best: dict[int, tuple] = {}
+        parts: dict[int, list] = defaultdict(list)
+        found: dict[int, tuple] = {}
         for k, offset in sorted(offsets):
             item = self.tokens[k]
+            if len(item) < self.least:
+                if k not in found and np.array_equal(item, tokens[offset : offset + len(item)]):
+                    found[k] = (k, len(item), 0, len(item), offset, len(item))
+                continue
             a, b = max(0, -offset), min(len(item), len(tokens) - offset)
-            begin, end, matches = stretch(item[a:b] == tokens[a + offset : b + offset])
-            if matches >= share * len(item) and (k not in best or matches > best[k][1]):
-                best[k] = (k, matches, a + begin, a + end, offset, len(item))
-        return [best[k] for k in sorted(best)]
+            equal = np.zeros(len(item), bool)
+            equal[a:b] = item[a:b] == tokens[a + offset : b + offset]
+            floor = min(LEAST_STRETCH, share * len(item))
+            good = [(x, y) for x, y, matches in stretches(equal) if matches >= floor]
+            if good:
+                sums = np.concatenate(([0], np.cumsum(equal)))
+                parts[k] += [(x, y, offset, sums) for x, y in good]
+        for k, some in parts.items():
+            n = len(self.tokens[k])
+            held = [int(sums[y] - sums[x]) for x, y, _, sums in some]
+            if sum(held) < share * n and max(held) < RUN:
+                continue
+            matches, begin, end, offset = chain(some, n)
+            if matches >= share * n or max(held) >= RUN:
+                found[k] = (k, matches, begin, end, offset, n)
+        return [found[k] for k in sorted(found)]
 
 
 def blocks(benchmark: DataFrame, least: int, block_tokens: int = BLOCK_TOKENS):

@@ -209,6 +209,33 @@ def test_decontamination(spark):
     assert exact and exact <= found
 
 
+def test_decontamination_of_broken_copies(spark):
+    """Insertions don't split an item, long runs of long items leak, short items leak whole."""
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    around = word("text", 40)
+    a, long, short = word("a", 59), word("b", 2000), ["tiny", "item", "here"]
+    items = [(1, " ".join(a)), (2, " ".join(long)), (3, " ".join(short)), (4, "alone")]
+    texts = {
+        "inserted and substituted": ([*a[:12], "other", *a[13:30], "new", *a[30:]], {(1, 58)}),
+        "inserted at the thirds": ([*a[:20], "new", *a[20:40], "newer", *a[40:]], {(1, 59)}),
+        "left out": ([*a[:20], *a[24:44], *a[46:]], {(1, 53)}),
+        "two places of the text": ([*a[:16], *around, *a[16:32]], {(1, 32)}),
+        "run of 28": (a[:28], {(1, 28)}),
+        "run of 24": (a[:24], set()),
+        "far apart": ([*a[:16], *around, *around, *a[16:32]], set()),
+        "run of 900": (long[300:1200], {(2, 900)}),
+        "short": (short, {(3, 3)}),
+        "short but for one word": (["tiny", "item", "there"], set()),
+        "one word": (["alone"], {(4, 1)}),
+    }
+    docs = spark.createDataFrame([(i, " ".join([*around, *t, *around])) for i, (t, _) in enumerate(texts.values())], "doc_id long, text string")
+    made = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    told = {name: {(r["item_id"], r["n_matches"]) for r in made if r["doc_id"] == i} for i, name in enumerate(texts)}
+    assert told == {name: want for name, (_, want) in texts.items()}
+    places = {r["doc_id"]: (r["item_begin"], r["item_end"], r["text_begin"]) for r in made}
+    assert places[0] == (0, 59, 40) and places[4] == (0, 28, 40) and places[7] == (300, 1200, 40) and places[8] == (0, 3, 40)
+
+
 def test_decontamination_in_blocks(spark):
     docs, items = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
     told = lambda df: sorted(map(tuple, df.collect()), key=str)
