@@ -6,6 +6,7 @@ import gzip
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -345,6 +346,17 @@ def test_encoding(spark):
         assert all(other[r["doc_id"]][c] == r[c] for c in ("sample_crcs", "inclusions", "log_weights", "ids_crc"))
 
 
+def test_stage_keeps_the_samples(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, SMALL, "documents").limit(20)
+    for r in pieces.pieces_stage(spark, docs, SMALL).collect():
+        assert len(r["sample_ids"]) == len(r["sample_crcs"])
+        for ids, crc in zip(r["sample_ids"], r["sample_crcs"], strict=True):
+            assert zlib.crc32(np.array(ids, np.int32).tobytes()) == crc and model.decode(ids) == model.decode(r["ids"])
+
+
 def test_tiny_weights_are_kept():
     sharp = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), alpha=1.0)
     numbers = sharp.numbers([sharp.split("ab")])
