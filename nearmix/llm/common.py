@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +72,34 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _slices(batch: pa.RecordBatch, rows: int, size: int | None) -> Iterator[tuple[int, int]]:
+    if size is None:
+        yield from ((at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    lengths = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    past, at = np.concatenate(([0], np.cumsum(lengths))), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(past, past[at] + size, "right")) - 1
+        n = max(1, min(end - at, rows, batch.num_rows - at))
+        yield at, n
+        at += n
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
     schema: str,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]],
     rows: int = 256,
+    size: int | None = None,
 ) -> DataFrame:
     """Run a batch function over ``columns`` of df, at most ``rows`` rows at a time.
 
+    With ``size`` a slice also ends where it would hold more bytes than that (a single row may).
+
     ``make`` is called once per task and returns the batch function; results are cast to
     ``schema`` by Spark. Slices keep Python's share of a batch of long texts small.
     """
@@ -86,8 +107,8 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = step(batch.slice(at, rows))
+            for at, n in _slices(batch, rows, size):
+                out = step(batch.slice(at, n))
                 if out is None:
                     continue
                 if isinstance(out, pa.RecordBatch):

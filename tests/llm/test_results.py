@@ -304,7 +304,7 @@ def _all_paths(lattices, unit):
 
 def test_sampling_without_replacement(lattices):
     """Paths are distinct, drawn by their weights, and inclusion scores estimate sums over all paths."""
-    numbers = lattices.numbers([lattices.split("abend")])
+    numbers = lattices.numbers([lattices.normalised("abend")])
     every = dict(_all_paths(lattices, int(numbers[0][0])))
     assert math.isclose(sum(map(math.exp, every.values())), 1, abs_tol=1e-9)
     runs, k = 3000, 3
@@ -321,12 +321,47 @@ def test_sampling_without_replacement(lattices):
 
 
 def test_all_paths_of_a_short_text(lattices):
-    numbers = lattices.numbers([lattices.split("ab")])
+    numbers = lattices.numbers([lattices.normalised("ab")])
     every = _all_paths(lattices, int(numbers[0][0]))
     (found,) = pieces.sample_batch(lattices, numbers, [5], len(every) + 5)
     assert {tuple(int(x) for x in e) for e, _, _ in found} == {p for p, _ in every} and {i for _, _, i in found} == {1.0}
 
 
+def test_sampling_over_several_units(lattices):
+    """Paths of a text of several units: all of them are found, in falling order of value, and drawn by their weights."""
+    (units,) = lattices.numbers([lattices.normalised("ab, to be\nab")])
+    assert len(units) > 3
+    per_unit = [_all_paths(lattices, int(u)) for u in units]
+    every = {sum((p for p, _ in c), ()): sum(w for _, w in c) for c in itertools.product(*per_unit)}
+    (found,) = pieces.sample_batch(lattices, [units], [9], len(every) + 1)
+    assert {tuple(int(x) for x in e) for e, _, _ in found} == set(every) and len(found) == len(every)
+    runs, first, both = 4000, Counter(), 0.0
+    for (e, w, _), (other, v, _) in pieces.sample_batch(lattices, [units] * runs, [xxhash.xxh64_intdigest(str(i)) for i in range(runs)], 2):
+        one, two = tuple(int(x) for x in e), tuple(int(x) for x in other)
+        assert one != two and math.isclose(every[one], w, abs_tol=1e-6) and math.isclose(every[two], v, abs_tol=1e-6)
+        first[one] += 1
+        both += math.exp(v) / (1 - math.exp(w))
+    for p, w in sorted(every.items(), key=lambda x: -x[1])[:5]:
+        assert abs(first[p] / runs - math.exp(w)) < 4 * math.sqrt(math.exp(w) / runs) + 0.005
+
+
+def test_memory_does_not_show(spark):
+    """A memo that is cut down again and again, and other batches, give the same samples."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [r["text"] for r in table(spark, SMALL, "documents").limit(60).collect()] + ["", "\n\n a", "x" * 6000]
+    keys = [xxhash.xxh64_intdigest(str(i)) for i in range(len(texts))]
+    want = None
+    for memo, step in ((pieces.MEMO_EDGES, len(texts)), (20_000, 7), (20_000, 1)):
+        own, told = pieces.Lattices(path, memo_edges=memo), []
+        for at in range(0, len(texts), step):
+            numbers = own.numbers([own.normalised(t) for t in texts[at : at + step]])
+            drawn = pieces.sample_batch(own, numbers, keys[at : at + step], 2)
+            told += [[(p.tolist(), w, i) for p, (_, w, i) in zip(own.expand([e for e, _, _ in f]), f, strict=True)] for f in drawn]
+            assert [x.tolist() for x in own.encoded(numbers)] == own.model.encode(texts[at : at + step])
+        assert want is None or told == want
+        want = told
+
+
 def test_encoding(spark):
     import sentencepiece
 
@@ -359,7 +394,7 @@ def test_stage_keeps_the_samples(spark):
 
 def test_tiny_weights_are_kept():
     sharp = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), alpha=1.0)
-    numbers = sharp.numbers([sharp.split("ab")])
+    numbers = sharp.numbers([sharp.normalised("ab")])
     every = _all_paths(sharp, int(numbers[0][0]))
     (found,) = pieces.sample_batch(sharp, numbers, [5], len(every) + 5)
     assert {tuple(int(x) for x in e) for e, _, _ in found} == {p for p, _ in every}
