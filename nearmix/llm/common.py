@@ -39,13 +39,16 @@ class Scratch:
     """Parquet tables in the folder all executors share (spark.checkpoint.dir).
 
     A table cuts the lineage: a lost executor costs its own running tasks, not the
-    iterations before. Only where the setting is absent (tests) is a folder made up.
+    iterations before. Where the setting is absent, a local session makes a folder up and any other
+    raises an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.gettempdir() + "/nearmix-scratch"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -22,6 +22,9 @@ Shards
     a pair is beyond it with a probability of at most ``miss``, and what they link, a cluster,
     is compared again shingle set by shingle set. Only pairs whose sets have the similarity
     become edges. Fingerprints are of the sets here, so that the two measures agree.
+    A hot shard (a passage that many texts share) is dealt again by new keys of more min-hashes,
+    as many groups of them as miss a pair of that similarity with a chance of ``miss``, whatever
+    other keys the pair has. What is still hot after the last level goes to the comparison whole.
 
 Verification
     A node is a distinct shingle set. Clusters up to BLOCK_ROWS are compared in one task each.
@@ -54,8 +57,10 @@ SEED = 42
 SHARD_ROWS = 64
 #: Shards above this are cut into sub-shards before trees are built.
 TREE_ROWS = 128
-#: Shards of min-hash keys above this are dealt again by a second key.
+#: Shards of min-hash keys above this are dealt again by keys of more min-hashes.
 HOT_ROWS = 1024
+#: Min-hashes of a key where a shard is dealt again, level by level.
+DEEPER = (4, 6, 8)
 #: Shingle sets of a cluster that a block of the verification holds.
 BLOCK_ROWS = 256
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -99,13 +104,13 @@ def fingerprint(h: np.ndarray, bits: int = 64) -> list[int]:
     return out
 
 
-def minhash_keys(h: np.ndarray, groups: int, rows: int) -> list[int]:
-    """One signed 64-bit key per group of ``rows`` min-hashes."""
+def minhash_keys(h: np.ndarray, groups: int, rows: int, first: int = 1000) -> list[int]:
+    """One signed 64-bit key per group of ``rows`` min-hashes, of hash functions numbered from ``first`` on."""
     if not len(h):
         h = np.zeros(1, np.uint64)
     keys = []
     for g in range(groups):
-        mins = [int(_remix(h, 1000 + g * rows + r).min()) for r in range(rows)]
+        mins = [int(_remix(h, first + g * rows + r).min()) for r in range(rows)]
         key = xxhash.xxh64_intdigest(np.array([g, *mins], np.uint64).tobytes(), SEED)
         keys.append(key - 2**64 if key >= 2**63 else key)
     return keys
@@ -327,7 +332,7 @@ def _block_keys(radius: int, bits: int, m: int):
 
 
 def _prints(words: int, bits: int, groups: int, rows: int):
-    """Batches of texts -> (doc_id, fp), with groups also (keys, shingles), and fp is of the set and ends in its digest."""
+    """Batches of texts -> (doc_id, text_key, fp), with groups also (keys, shingles), and fp is of the set and ends in its digest."""
 
     def step(batch: pa.RecordBatch):
         fps, keys, sets = [], [], []
@@ -341,8 +346,8 @@ def _prints(words: int, bits: int, groups: int, rows: int):
                 fp += xxhash.xxh3_128_digest(sets[-1], SEED)
                 keys.append(minhash_keys(h, groups, rows))
             fps.append(fp)
-        arrays = [batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())]
-        names = ["doc_id", "fp"]
+        arrays = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps, pa.binary())]
+        names = ["doc_id", "text_key", "fp"]
         if groups:
             arrays += [pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             names += ["keys", "shingles"]
@@ -452,64 +457,101 @@ def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius:
     return edges.unionByName(scratch.store(compared(todo.withColumn("part", parts)), "verified"))
 
 
-def _divide_hot(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Deal each shard of more than HOT_ROWS members again by all other keys of its members.
+def _deeper_keys(groups: int, rows: int, first: int):
+    """Batches of (fp, shingles) -> (fp, keys) by min-hashes that no other level uses."""
 
-    A pair that shares the shard's key and has the similarity misses every other key about as
-    rarely as it would have missed all keys, so the guarantee holds up to one group.
-    """
-    hot = scratch.store(keyed.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "hot")
-    if hot.isEmpty():
-        return keyed.select(F.col("key").cast("string").alias("key"), "fp")
-    members = scratch.store(keyed.join(hot, "key").select("fp", F.col("key").alias("shard")), "members")
-    again = members.join(keyed, "fp").where("shard <> key").select(F.concat_ws("/", "shard", "key").alias("key"), "fp")
-    cool = keyed.join(hot, "key", "left_anti").select(F.col("key").cast("string").alias("key"), "fp")
-    return cool.unionByName(again)
+    def step(batch: pa.RecordBatch):
+        keys = [minhash_keys(np.frombuffer(x, np.uint64), groups, rows, first) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
 
+    return lambda: step
 
-def simhash_components(
-    docs: DataFrame,
-    words: int = 3,
-    bits: int = 64,
-    radius: int = 3,
-    similarity: float | None = None,
-    miss: float = 1e-4,
-    name: str = "simhash",
-) -> DataFrame:
-    """docs(doc_id, text, ..) -> (doc_id, fp binary, component_id), one row per row of docs.
 
-    With ``similarity`` texts link when their shingle sets have that Jaccard similarity; a pair
-    is missed with a chance of at most ``miss`` by the min-hashes and again by the radius. Else
-    shards come from blocks of the fingerprint and no pair is missed.
+def _divide_hot(keyed: DataFrame, sets: DataFrame, similarity: float, miss: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """keyed(key, fp), sets(fp, shingles) -> shards (key, fp) of at most HOT_ROWS members, and star edges of hotter ones.
+
+    Each level deals the members of a hot shard by its own groups of longer keys. A pair that shares
+    a shard at one level shares one at the next but for a chance of ``miss``. A level starts from the
+    hot shard of the first level, so that the rows of a member don't multiply.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, name)
+    out = None
+    now = keyed.select(F.col("key").cast("string").alias("shard"), F.col("key").cast("string").alias("key"), "fp")
+    for level, rows in enumerate((*DEEPER, None)):
+        hot = scratch.store(now.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "hot")
+        if hot.isEmpty():
+            part, now = now, None
+        else:
+            part, now = now.join(hot, "key", "left_anti"), now.join(hot, "key")
+        part = part.select("key", "fp")
+        out = part if out is None else out.unionByName(part)
+        if now is None:
+            return out, None
+        if rows is None:
+            break
+        members = scratch.store(now.select("shard", "fp").distinct(), "members")
+        groups = groups_for(similarity, rows, miss)
+        asked = members.select("fp").distinct().join(sets, "fp").select("fp", "shingles")
+        keys = map_texts(asked, ["fp", "shingles"], "fp binary, keys array<long>", _deeper_keys(groups, rows, 10_000 * (level + 1)))
+        again = members.join(keys, "fp").select("shard", F.explode("keys").alias("own"), "fp")
+        now = scratch.store(again.select("shard", F.concat_ws("/", "shard", F.lit(level), "own").alias("key"), "fp"), "again")
+    lowest = now.groupBy("key").agg(F.min("fp").alias("v"))
+    return out, now.join(lowest, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+
+
+def _classified(
+    docs: DataFrame, words: int, bits: int, radius: int, similarity: float | None, miss: float, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: rows (doc_id, text_key, fp), one per row of docs, and classes (fp, label, component_id)."""
     groups = rows = 0
     if similarity is not None:
         rows, radius = 2, radius_for(similarity, bits, miss)
         groups = groups_for(similarity, rows, miss)
-    schema = "doc_id long, fp binary" + (", keys array<long>, shingles binary" if groups else "")
-    prints = map_texts(docs, ["doc_id", "text"], schema, _prints(words, bits, groups, rows))
+    schema = "doc_id long, text_key long, fp binary" + (", keys array<long>, shingles binary" if groups else "")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    prints = map_texts(texts, ["doc_id", "text", "text_key"], schema, _prints(words, bits, groups, rows))
     prints = scratch.store(prints.withColumn("row", F.monotonically_increasing_id()) if groups else prints, "prints")
     lowest = [F.min("doc_id").alias("first"), *([F.min("row").alias("row")] if groups else [])]
     nodes = scratch.store(prints.groupBy("fp").agg(*lowest), "nodes")
+    stars = None
     if groups:
         # Equal sets have equal keys; each distinct (key, fp) is one row.
         keyed = scratch.store(prints.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp"), "keyed")
-        keyed = _divide_hot(keyed, scratch)
+        sets = prints.join(nodes.select("row"), "row", "left_semi").select("fp", "shingles")
+        keyed, stars = _divide_hot(keyed, sets, similarity, miss, scratch)
     else:
         m = blocks_for(nodes.count(), radius, bits)
         keyed = map_texts(nodes, ["fp"], "key binary, fp binary", _block_keys(radius, bits, m), 4096)
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
     edges = dealt.mapInArrow(_shard_links(radius, bits, not groups), "u binary, v binary")
     if groups:
+        edges = edges if stars is None else edges.unionByName(stars)
         clusters = scratch.store(components(edges, scratch), "clusters")
         edges = _verified(clusters, prints, nodes, radius, similarity, bits, scratch)
     labels = scratch.store(components(edges, scratch).join(nodes.selectExpr("fp AS node", "first"), "node"), "labels")
     firsts = scratch.store(labels.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
-    linked = scratch.store(labels.join(firsts, "label").select(F.col("node").alias("fp"), "component_id"), "linked")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    classes = scratch.store(classes, "classes")
+    linked = scratch.store(labels.join(firsts, "label").select(F.col("node").alias("fp"), "label", "component_id"), "linked")
+    classes = nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "first").alias("component_id")
+    )
+    return prints, scratch.store(classes, "classes")
+
+
+def simhash_components(
+    docs: DataFrame,
+    words: int = 3,
+    bits: int = 64,
+    radius: int = 3,
+    similarity: float | None = None,
+    miss: float = 1e-4,
+    name: str = "simhash",
+) -> DataFrame:
+    """docs(doc_id, text, ..) -> (doc_id, fp binary, component_id), one row per row of docs.
+
+    With ``similarity`` texts link when their shingle sets have that Jaccard similarity; a pair
+    is missed with a chance of at most ``miss`` by the min-hashes, by each level of a hot shard
+    and by the radius. Else shards come from blocks of the fingerprint and no pair is missed.
+    """
+    prints, classes = _classified(docs, words, bits, radius, similarity, miss, Scratch(docs.sparkSession, name))
     fp = F.substring("fp", 1, bits // 8).alias("fp")
     return prints.select("doc_id", "fp").join(classes, "fp").select("doc_id", fp, "component_id")
 
@@ -519,20 +561,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
-    """Keep one document of each near-duplicate group: the smallest doc_id, one row of it.
+def dedup_stage(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8, bits: int = 256, miss: float = 1e-4
+) -> DataFrame:
+    """Keep one row of each near-duplicate group: that with the smallest doc_id.
 
     Two texts link when the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-    more. Fingerprints of 256 bits find the candidates and miss a pair of 0.8 with a chance of
-    at most 2 in 10,000 (see ``simhash_components``). Rows with a null doc_id stay.
+    more. Groups are of rows, so of one id's unlike texts each stays in its own group. Where the
+    smallest id has several rows in a group, the text with the smallest hash stays, and of its
+    rows the one with the smallest hash over all columns. Fingerprints of 256 bits find the
+    candidates and miss a pair of 0.8 with a chance of at most 2 in 10,000, in hot shards ``miss``
+    more a level (see the top of this module). Rows with a null doc_id stay.
     """
-    found = simhash_components(docs, words=words, bits=bits, similarity=similarity, name="dedup")
-    scratch = Scratch(spark, "dedup-out")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    scratch = Scratch(spark, "dedup")
+    prints, classes = _classified(docs, words, bits, 0, similarity, miss, scratch)
+    rows = scratch.store(prints.where("doc_id is not null").select("doc_id", "text_key", "fp").join(classes.select("fp", "label"), "fp"), "rows")
+    own = F.struct("doc_id", "text_key")
+    best = scratch.store(rows.groupBy("label").agg(F.min(own).alias("best")), "best")
+    gone = rows.join(best, "label").where(own != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     gone = scratch.store(gone, "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = scratch.store(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
+    again = rows.groupBy("doc_id", "text_key").count().where("count > 1").selectExpr("doc_id AS gone_id", "text_key AS gone_key")
+    again = scratch.store(again, "repeated")
+    key = F.xxhash64(docs["text"])
+    at = lambda other: (docs["doc_id"] == other["gone_id"]) & (key == other["gone_key"])
+    kept = docs.join(gone, at(gone), "left_anti")
+    if again.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    once = docs.join(gone, at(gone), "left_anti").join(again, at(again), "left_semi")
+    once = once.groupBy(docs["doc_id"], key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.join(again, at(again), "left_anti").unionByName(once.select("row.*"))

@@ -166,11 +166,48 @@ def test_dedup_stage_verifies(spark, monkeypatch):
             up[max(x, y)] = min(x, y)
     want = {i for i in texts if root(i) == i}
     assert {i for i in texts if 1000 <= i} <= want and len(want) == len(texts) - 60
-    for rows in (256, 8):
+    # also with small blocks and shards that are hot at every level
+    for rows, hot, deeper in ((256, 1024, simhash.DEEPER), (8, 1, (4,))):
         monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        monkeypatch.setattr(simhash, "DEEPER", deeper)
         assert {r["doc_id"] for r in simhash.dedup_stage(spark, df, None).select("doc_id").collect()} == want
 
 
+def test_hot_shard_keeps_its_links(spark, monkeypatch):
+    """Pairs that share a hot shard and no other key are found by the next level's keys."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 100)
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(300):
+        own = rng.integers(0, 2**63, 200, np.uint64)
+        sets += [np.unique(own), np.unique(np.concatenate((own[20:], rng.integers(0, 2**63, 20, np.uint64))))]
+    rows = [(i.to_bytes(4, "big"), s.tobytes()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "fp binary, shingles binary")
+    keyed = frame.select(F.lit(7).cast("long").alias("key"), "fp")
+    shards, stars = simhash._divide_hot(keyed, frame, 0.8, 1e-4, Scratch(spark, "t"))
+    assert stars is None
+    held: dict = {}
+    for r in shards.collect():
+        held.setdefault(r["key"], set()).add(int.from_bytes(r["fp"], "big"))
+    assert max(map(len, held.values())) <= 100
+    together = {p for h in held.values() for p in itertools.combinations(sorted(h), 2)}
+    assert all((2 * i, 2 * i + 1) in together for i in range(300))
+
+
+def test_dedup_by_rows(spark):
+    """Groups are of rows: an id's other text stays, of repeated rows one stays, whatever else they hold."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (1, c, "x"), (5, c, "x"), (7, b + " more", "x"), (8, "own", "p"), (8, "own", "q"), (None, a, "x"), (None, a, "x"), (9, None, "x"), (9, "", "x"), (9, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    want = sorted(map(tuple, simhash.dedup_stage(spark, df, None).collect()), key=str)
+    for part in (df.repartition(7, "more").sort(F.desc("more")),):
+        kept = sorted(map(tuple, simhash.dedup_stage(spark, part, None).collect()), key=str)
+        assert [r for r in kept if r[0] not in (8, 9)] == sorted([(1, a, "x"), (1, c, "x"), (2, b, "x"), (None, a, "x"), (None, a, "x")], key=str)
+        assert len([r for r in kept if r[0] == 8]) == len([r for r in kept if r[0] == 9]) == 1
+        assert kept == want
+
+
 def test_radius_misses_few():
     """Sets of one Jaccard similarity lie within the radius but for a small chance, small sets too."""
     rng = np.random.default_rng(4)
