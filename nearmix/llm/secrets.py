@@ -2,14 +2,14 @@
 
 Base spans are reported always. Beyond them, a credential often comes in parts that are weak
 evidence alone: an identifier, a secret-looking string, an endpoint. Such candidates are
-reported only where complementary parts stand in one scope, a window of SCOPE characters:
+reported only where complementary parts begin within SCOPE characters before or behind them:
 
 * an identifier, where a secret (strong or weak) co-occurs,
 * a secret-looking string, where an identifier or an endpoint co-occurs,
 * an endpoint, where both an identifier and a secret co-occur.
 
-Candidates meet their scopes in an interval join by bins (every part lies in two overlapping
-scopes), and a scope's kinds are summed up once, so no pair of parts is ever formed. A weak
+The interval join is a window frame over a text's parts, by distance between their beginnings, so
+no pair of parts is ever formed and what stands further away in the text doesn't matter. A weak
 candidate that begins inside a base span is part of it and not reported again.
 
 Positions: a pattern's matches and the pieces between them alternate, so a match begins after
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearmix.llm.common import table
+from nearmix.llm.common import Scratch, table
 
 SCOPE = 512
 
@@ -83,29 +83,28 @@ def _parts(kind: str) -> Column:
 _PARTS = "array<struct<kind:int,place:int,gap:int,length:int,holds:boolean>>"
 
 
-def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs(doc_id, text, ..) -> (doc_id, text_key, spans), spans an array of (start, kind number, end).
+_KEYS = ("doc_id", "text_key")
 
-    One row per distinct (doc_id, text) with at least one span.
-    """
-    keys = ["doc_id", "text_key"]
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = rows.select(*keys, F.concat(*[_parts(k) for k in KINDS]).alias("parts")).where(F.size("parts") > 0)
-    each = found.groupBy(*keys).agg(F.first("parts").alias("parts")).select(*keys, F.explode("parts").alias("p")).select(*keys, "p.*")
-    before = Window.partitionBy(*keys, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _parts_of_all() -> Column:
+    return F.concat(*[_parts(k) for k in KINDS])
+
+
+def _linked(found: DataFrame, scope: int) -> DataFrame:
+    """found(doc_id, text_key, parts) -> the reported spans (doc_id, text_key, kind, start, end) of distinct texts."""
+    each = found.where(F.size("parts") > 0).groupBy(*_KEYS).agg(F.first("parts").alias("parts")).select(*_KEYS, F.explode("parts").alias("p")).select(*_KEYS, "p.*")
+    before = Window.partitionBy(*_KEYS, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(before)).where("holds")
-    placed = placed.select(*keys, "kind", (F.col("end") - F.col("length")).alias("start"), "end")
+    placed = placed.select(*_KEYS, "kind", (F.col("end") - F.col("length")).alias("start"), "end")
     base = F.col("kind") < len(BASE)
-    so_far = Window.partitionBy(*keys).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*_KEYS).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(base, F.col("end"))).over(so_far)
     placed = placed.withColumn("reach", reach).where(base | F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).drop("reach")
-    bin_ = F.floor(F.col("start") / (scope // 2))
-    scoped = placed.withColumn("scope", F.explode(F.array(bin_, bin_ - 1)))
-    within = Window.partitionBy(*keys, "scope")
+    within = Window.partitionBy(*_KEYS).orderBy("start").rangeBetween(-scope, scope)
     is_kind = lambda *names: F.col("kind").isin([KINDS.index(n) for n in names])
     has = lambda *names: F.max(is_kind(*names)).over(within)
-    flagged = scoped.select(
-        *keys, "kind", "start", "end",
+    flagged = placed.select(
+        *_KEYS, "kind", "start", "end",
         has("access", "weak_id").alias("an_id"), has("assign", "hex", "weak_secret").alias("a_secret"), has("endpoint").alias("an_endpoint"),
     )
     linked = (
@@ -114,8 +113,17 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         | (is_kind("weak_secret") & (F.col("an_id") | F.col("an_endpoint")))
         | (is_kind("endpoint") & F.col("an_id") & F.col("a_secret"))
     )
-    kept = flagged.where(linked).select(*keys, F.struct("start", "kind", "end").alias("span"))
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return flagged.where(linked).select(*_KEYS, "kind", "start", "end")
+
+
+def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """docs(doc_id, text, ..) -> (doc_id, text_key, spans), spans an array of (start, kind number, end).
+
+    One row per distinct (doc_id, text) with at least one span.
+    """
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    kept = _linked(rows.select(*_KEYS, _parts_of_all().alias("parts")), scope)
+    return kept.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
 def _told(of: Column) -> Column:
@@ -141,36 +149,66 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str = "[SECRET]") -> DataFrame:
-    """Replace every reported span by ``mask``; overlapping spans become one. No document goes.
+#: Characters of the blocks that a text is cut into before pieces of it are taken.
+BLOCK = 4096
+
+
+def _without(text: Column, begins: Column, ends: Column, mask: str) -> tuple[Column, Column]:
+    """A struct to hold as column _b, and by it the text with ``mask`` for each span; spans are in order and don't overlap.
 
-    Only documents with a candidate are shuffled; n_chars follows the text where it changes.
+    A piece is taken from the blocks it touches, so the work is that of the text's length and of a
+    block a span, not of the text's length a span.
     """
-    maybe = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p in {**BASE, **WEAK}.values())), F.lit(False))
-    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    hit = docs.where(maybe).withColumn("_text", F.xxhash64("text"))
-    hit = hit.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    text = F.col("text")
-
-    def step(acc, s):
-        begin = F.greatest(s["start"], acc["at"])
-        grown = F.struct(
-            F.concat(
-                acc["out"],
-                F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")),
-                F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")),
-            ).alias("out"),
-            F.greatest(s["end"], acc["at"]).alias("at"),
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        x, y = (a % BLOCK).cast("int"), (b % BLOCK).cast("int")
+        whole = F.array_join(F.slice("_b.blocks", i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        block = lambda n: F.coalesce(F.get("_b.blocks", n), F.lit(""))
+        return F.when(i == j, F.substring(block(i), x + 1, y - x)).otherwise(
+            F.concat(F.substring(block(i), x + 1, F.lit(BLOCK)), whole, F.substring(block(j), F.lit(1), y))
         )
-        return grown
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    new = F.when(F.col("_spans").isNotNull(), done).otherwise(text)
-    changed = hit.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.where(~maybe).unionByName(changed.select(*docs.columns))
+    n = F.size("_b.begins")
+    after = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_b.ends", i - 1))
+    until = lambda i: F.when(i == n, F.col("_b.length")).otherwise(F.get("_b.begins", i))
+    made = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: piece(after(i), until(i))), mask)
+    return F.struct(blocks.alias("blocks"), begins.alias("begins"), ends.alias("ends"), F.length(text).cast("long").alias("length")), made
+
+
+def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str = "[SECRET]") -> DataFrame:
+    """Replace every reported span by ``mask``; overlapping spans become one. No document goes.
+
+    The patterns run over the texts once: their matches are stored beside the rows. Only rows with a
+    match are shuffled; n_chars follows the text where it changes. Columns of any name stay as they
+    are.
+    """
+    columns = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {n: f"c{i}" for i, n in enumerate(columns)}
+    text = F.col(at["text"])
+    parts = _parts_of_all()
+    rows = numbered.withColumn("text", text).select(*[c for c in numbered.columns], F.coalesce(parts, F.array().cast(_PARTS)).alias("parts"))
+    scratch = Scratch(spark, "redact")
+    rows = scratch.store(rows, "rows")
+    hit = rows.where(F.size("parts") > 0).withColumn("text_key", F.xxhash64(text))
+    found = _linked(hit.select(F.col(at["doc_id"]).alias("doc_id"), "text_key", "parts"), SCOPE)
+    order = Window.partitionBy(*_KEYS).orderBy("start", "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
+    group = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = found.withColumn("new", new).withColumn("group", group).groupBy(*_KEYS, "group").agg(F.min("start").alias("begin"), F.max("end").alias("end"))
+    merged = merged.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("all"))
+    joined = hit.drop("parts").join(merged.withColumnRenamed("text_key", "key"), F.col(at["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")), "left")
+    cut, made = _without(text, F.col("all.begin"), F.col("all.end"), mask)
+    changed = joined.withColumn("_b", F.when(F.col("all").isNotNull(), cut))
+    changed = changed.withColumn(at["text"], F.when(F.col("all").isNotNull(), made).otherwise(text))
+    if "n_chars" in at:
+        old = F.col(at["n_chars"])
+        changed = changed.withColumn(at["n_chars"], F.when(F.col("all").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(old))
+    back = rows.where(F.size("parts") == 0).drop("parts").unionByName(changed.select(*numbered.columns))
+    return back.toDF(*columns)
 
 
 def oracle(scope: int = SCOPE) -> str:
@@ -188,18 +226,16 @@ def oracle(scope: int = SCOPE) -> str:
 WITH e AS ({each}),
 p AS (
   SELECT *, sum(length(piece) + length(match)) OVER (PARTITION BY doc_id, text, kind ORDER BY place) AS stop FROM e),
-q AS (SELECT doc_id, text, kind, stop - length(match) AS start, stop FROM p WHERE CASE kind {holds} END),
+q AS (SELECT doc_id, text, kind, CAST(stop - length(match) AS BIGINT) AS start, stop FROM p WHERE CASE kind {holds} END),
 r AS (
   SELECT *, max(CASE WHEN kind < {len(BASE)} THEN stop END) OVER (
     PARTITION BY doc_id, text ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach FROM q),
-s AS (
-  SELECT *, start // {scope // 2} - back AS scope FROM r, (VALUES (0), (1)) AS b(back)
-  WHERE kind < {len(BASE)} OR reach IS NULL OR start >= reach),
+s AS (SELECT * FROM r WHERE kind < {len(BASE)} OR reach IS NULL OR start >= reach),
 f AS (
   SELECT *, bool_or(kind IN ({number("access", "weak_id")})) OVER w AS an_id,
     bool_or(kind IN ({number("assign", "hex", "weak_secret")})) OVER w AS a_secret,
     bool_or(kind IN ({number("endpoint")})) OVER w AS an_endpoint
-  FROM s WINDOW w AS (PARTITION BY doc_id, text, scope)),
+  FROM s WINDOW w AS (PARTITION BY doc_id, text ORDER BY start RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)),
 k AS (
   SELECT DISTINCT doc_id, text, kind, start, {names}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS told FROM f
   WHERE kind < {len(BASE)} OR (kind = {number("weak_id")} AND a_secret) OR (kind = {number("weak_secret")} AND (an_id OR an_endpoint))

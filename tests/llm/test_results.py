@@ -319,6 +319,34 @@ def test_secret_links(spark):
     assert sorted(map(tuple, redacted.collect())) == [(5, "token=abc and [SECRET]", 22), (6, None, None)]
 
 
+def test_secret_links_by_distance(spark):
+    """Links depend on the distance of the parts alone, not on what stands before them."""
+    texts = []
+    for distance, linked in ((30, True), (256, True), (400, True), (512, True), (513, False), (900, False)):
+        for shift in (0, 1, 99, 100, 255, 256, 257, 511, 512):
+            first = "user_name: someone1 "
+            texts.append(("y" * shift + "|" + first + "z" * (distance - len(first) - 1) + " password = 'hunter22'", linked))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    made = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(docs).collect()}
+    assert [("weak_id" in made[i]) == linked for i, (_, linked) in enumerate(texts)] == [True] * len(texts)
+
+
+def test_redaction_of_long_texts(spark):
+    """Against Python, with many spans, characters outside the basic plane, and columns that clash."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (0, 1, 5, 300):
+        parts = []
+        for _ in range(n):
+            parts += ["\U0001f600é" * int(rng.integers(0, 900)) + " ", f"password = hunter{rng.integers(10**6)}", " "]
+        texts.append("".join(parts) + "tail" * 2000)
+    docs = spark.createDataFrame([(i, t, "x", "y", "z", "w") for i, t in enumerate(texts)], "doc_id long, text string, _text string, _id string, parts string, `a.b` string")
+    made = {r[0]: r for r in secrets.redact_stage(spark, docs, None).collect()}
+    assert list(made[0].asDict()) == docs.columns
+    for i, t in enumerate(texts):
+        assert made[i][1] == re.sub("password = hunter[0-9]+", "[SECRET]", t) and tuple(made[i])[2:] == ("x", "y", "z", "w")
+
+
 @pytest.fixture(scope="module")
 def lattices():
     return pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), alpha=1e-3)
