@@ -8,17 +8,26 @@ the negative sum is subtracted at the end. The top rows are then taken from the
 score slice downward: rows above the others are certain, rows that tie so far are carried on;
 rows that tie in every slice at the boundary are resolved exactly by id.
 
-Queries are a stated set against all rows, dealt in blocks: every shard meets each block once
-and hands on at most k rows a query, so what is shuffled is k rows a shard and query.
+Shards are built once and stored; queries are a stated set against all rows, dealt in blocks that
+are broadcast one after another: every shard meets each block once and hands on at most k rows a
+query, so what is shuffled is k rows a shard and query.
 
-Defined results: vectors that are null, empty, or hold a null or non-finite component take no
-part, neither do rows with a null id; of several rows with one id the one with the smallest
-quantised vector stands for it; vectors of unequal length score over the attributes both have.
-Quantised components must lie within +-2^26. Ties go to the smaller id.
+Rows with a component beyond +-WIDE after quantisation, and queries that have one, are scored by
+integers of any length instead, which is slow but exact.
+
+Defined results: vectors that are null or hold a null or non-finite component take no part. Each
+row is a candidate and a query of its own: rows that share an id are answered one by one, and each
+finds the others. Rows with a null id are candidates and come last among ties. Vectors of unequal
+length score over the attributes both have (an empty vector scores 0). A score beyond the range of
+long counts as its end. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import pickle
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +40,26 @@ from nearmix.llm.common import Scratch, table
 QUERY_BLOCK = 4096
 #: Rows of a shard: bitmaps of 2 KB stay in the processor's cache.
 SHARD_ROWS = 16_384
+#: Quantised components up to this go into slices: sums over up to 2,048 attributes fit in 64 bits.
+WIDE = 1 << 26
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def quantised(df: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, q array<long>), one row per id."""
+def taking_part(df: DataFrame) -> DataFrame:
+    """(vec_id, x array<double>) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    )
-    q = F.transform(x, lambda v: F.floor(v * F.lit(scale)).cast("long"))
-    return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
+    fine = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+
+
+def quantise(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x): int64 where all fit below WIDE, Python integers else."""
+    with np.errstate(over="ignore"):
+        y = np.floor(x * scale)
+    if not len(y) or np.abs(y).max() <= WIDE:
+        return y.astype(np.int64)
+    exact = lambda v, w: int(w) if abs(w) < 2.0**52 else floor(Fraction(v) * Fraction(scale))
+    return np.array([exact(v, w) for v, w in zip(x.tolist(), y.tolist(), strict=True)], object)
 
 
 def _digits(q: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
@@ -60,10 +79,11 @@ def _digits(q: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
 
 
 class BitSlices:
-    """The slices of one shard; rows in ascending order of id."""
+    """The slices of one shard; rows in ascending order of id, which ``keys`` number over all shards."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.n = ids, len(ids)
+    def __init__(self, ids: list, keys: np.ndarray, values: np.ndarray):
+        self.ids, self.keys, self.n = ids, keys, len(ids)
+        self.place = np.argsort(keys)
         self.low = values.min(0)
         above = (values - self.low).astype(np.uint64)
         self.widths = [int(x).bit_length() for x in above.max(0)]
@@ -139,12 +159,13 @@ class BitSlices:
         return out, int(q @ self.low) - (1 << (size - 1))
 
     def top(self, q: np.ndarray, k: int, own: int | None) -> tuple[list[int], list[int]]:
-        """Ids and scores of the k best rows but ``own``, ties to the smaller id."""
+        """Ids and scores of the k best rows but that with key ``own``, ties to the smaller id."""
         slices, base = self.scores(q)
         open_ = self.valid.copy()
         if own is not None:
-            at = int(np.searchsorted(self.ids, own))
-            if at < self.n and self.ids[at] == own:
+            at = int(np.searchsorted(self.keys, own, sorter=self.place))
+            if at < self.n and self.keys[self.place[at]] == own:
+                at = int(self.place[at])
                 open_[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
         certain, n_certain = np.zeros(self.words, np.uint64), 0
         for b in range(len(slices) - 1, -1, -1):
@@ -164,80 +185,123 @@ class BitSlices:
             rows = np.concatenate((rows, self._rows(open_)[: k - len(rows)]))
         bits = (slices[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
         values = [sum(int(x) << b for b, x in enumerate(column)) + base for column in bits.T.tolist()]
-        return self.ids[rows].tolist(), values
+        return [self.ids[i] for i in rows.tolist()], values
 
     @staticmethod
     def _rows(bitmap: np.ndarray) -> np.ndarray:
         return np.nonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))[0]
 
 
-def _search(block, k: int):
-    """Batches (vec_id, q) of a shard -> (query_id, vec_id, score)."""
+class Shard:
+    """Rows of one length: slices of the narrow ones, integers of any length of the others."""
 
-    def run(batches):
-        queries = block.value
-
-        def answer(ids: np.ndarray, values: np.ndarray):
-            order = np.argsort(ids, kind="stable")
-            index = BitSlices(ids[order], values[order])
-            a, b, c = [], [], []
-            for qid, q in queries:
-                n = min(len(q), index.low.shape[0])
-                full = np.zeros(index.low.shape[0], np.int64)
+    def __init__(self, rows: list[tuple[int | None, int, np.ndarray]], dim: int):
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        narrow = [r for r in rows if r[2].dtype != object and dim]
+        self.dim = dim
+        self.others = [r for r in rows if r[2].dtype == object or not dim]
+        keys = np.array([r[1] for r in narrow], np.int64)
+        self.index = BitSlices([r[0] for r in narrow], keys, np.stack([r[2] for r in narrow])) if narrow else None
+        #: The narrow rows again, for wide queries.
+        self.values = np.stack([r[2] for r in narrow]) if narrow else None
+
+    def top(self, q: np.ndarray, k: int, own: int) -> list[tuple[int, int | None]]:
+        """(score, id) of the k best rows but that with key ``own``."""
+        found = []
+        if self.index is not None:
+            if q.dtype != object:
+                full = np.zeros(self.dim, np.int64)
+                n = min(len(q), self.dim)
                 full[:n] = q[:n]
-                found, scores = index.top(full, k, qid)
-                a += [qid] * len(found)
-                b += found
-                c += scores
-                if len(a) > 50_000:
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
-                    a, b, c = [], [], []
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+                ids, scores = self.index.top(full, k, own)
+                found += zip(scores, ids, strict=True)
+            else:
+                found += [(self._score(v, q), i) for i, key, v in zip(self.index.ids, self.index.keys.tolist(), self.values, strict=True) if key != own]
+        found += [(self._score(v, q), i) for i, key, v in self.others if key != own]
+        found = [(min(max(s, _LEAST), _MOST), i) for s, i in found]
+        return sorted(found, key=lambda f: (-f[0], f[1] is None, f[1] or 0))[:k]
+
+    @staticmethod
+    def _score(v: np.ndarray, q: np.ndarray) -> int:
+        return sum(int(a) * int(b) for a, b in zip(v.tolist(), q.tolist(), strict=False))
+
+
+def _vectors(batch: pa.RecordBatch, scale: float):
+    """(vec_id, key, quantised vector) of rows (vec_id, key, x)."""
+    lists = batch.column(2)
+    offsets = lists.offsets.to_numpy().tolist()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    for i, (vec, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        yield vec, key, quantise(flat[offsets[i] : offsets[i + 1]], scale)
+
 
+def _build(scale: float, most: int):
+    """Batches (vec_id, key, x) -> stored shards of at most ``most`` rows of one length."""
+
+    def run(batches):
         held: dict[int, list] = {}
-        sizes: dict[int, int] = {}
+        shard = lambda dim: pa.RecordBatch.from_pydict({"shard": pa.array([pickle.dumps(Shard(held.pop(dim), dim))], pa.binary())})
+        for batch in batches:
+            for row in _vectors(batch, scale):
+                own = held.setdefault(len(row[2]), [])
+                own.append(row)
+                if len(own) >= most:
+                    yield shard(len(row[2]))
+        for dim in list(held):
+            yield shard(dim)
+
+    return run
+
+
+_ANSWER = pa.schema([("query_key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _search(block, k: int):
+    """Batches of stored shards -> (query_key, query_id, vec_id, score)."""
+
+    def run(batches):
+        out: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_ANSWER)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
-            for dim in np.unique(lengths).tolist():
-                pick = lengths == dim
-                values = flat[(starts[pick][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
-                held.setdefault(dim, []).append((ids[pick], values))
-                sizes[dim] = sizes.get(dim, 0) + int(pick.sum())
-                if sizes[dim] >= 4 * SHARD_ROWS:
-                    parts = held.pop(dim)
-                    sizes[dim] = 0
-                    yield from answer(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        for parts in held.values():
-            yield from answer(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            for blob in batch.column(0):
+                shard = pickle.loads(blob.as_py())
+                for vec, key, q in block.value:
+                    out += [(key, vec, i, s) for s, i in shard.top(q, k, key)]
+                    if len(out) > 50_000:
+                        yield pack()
+                        out.clear()
+        if out:
+            yield pack()
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, name: str = "topk") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, name: str = "topk", block_rows: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors(vec_id, embedding, ..) -> (query_id, rank, vec_id, score); queries are ids divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, name)
-    rows = scratch.store(quantised(vectors, scale), "rows")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    rows = scratch.store(taking_part(vectors).withColumn("key", F.monotonically_increasing_id()).select("vec_id", "key", "x"), "rows")
+    queries = scratch.store(rows.where(F.col("vec_id") % every == 0), "queries")
     n_rows, n_queries = rows.count(), queries.count()
-    # A whole number of shards for each core, so that all work at once, of SHARD_ROWS rows at most.
+    # A whole number of shards for each core, so that all work at once.
     cores = max(spark.sparkContext.defaultParallelism, 1)
-    shards = max(1, -(-n_rows // SHARD_ROWS))
-    shards = max(shards, min(cores, -(-n_rows // 2048)))
-    dealt = rows.repartition(shards, "vec_id")
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    shards = max(1, -(-n_rows // shard_rows), min(cores, -(-n_rows // 2048)))
+    built = scratch.store(rows.repartition(shards, "key").mapInArrow(_build(scale, shard_rows), "shard binary"), "shards")
+    scratch.drop(rows)
+    # One shard a task, whatever the files' sizes.
+    spread = built.repartition(max(1, min(4 * shards, built.count())))
+    blocks = max(1, -(-n_queries // block_rows))
     found = None
     for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        block = spark.sparkContext.broadcast([(r.vec_id, np.array(r.q, np.int64)) for r in mine.toLocalIterator()])
-        part = dealt.mapInArrow(_search(block, k), "query_id long, vec_id long, score long")
-        part = part if blocks == 1 else scratch.store(part, "block")
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
+        asked = [(r.vec_id, r.key, quantise(np.array(r.x), scale)) for r in mine.toLocalIterator()]
+        block = spark.sparkContext.broadcast(asked)
+        part = spread.mapInArrow(_search(block, k), "query_key long, query_id long, vec_id long, score long")
+        if blocks > 1:
+            part = scratch.store(part, "block")
+            block.destroy()
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_key").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -248,16 +312,17 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH d AS (
-  SELECT vec_id, min(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT))) AS q
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT)) AS q
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
-  GROUP BY vec_id),
-e AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM d),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+e AS MATERIALIZED (SELECT rid, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM d),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
-  FROM e a JOIN e b ON a.i = b.i AND a.vec_id <> b.vec_id
+  SELECT a.rid AS query_rid, b.rid AS rid, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.i = b.i AND a.rid <> b.rid
   WHERE a.vec_id % 20 = 0 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+r AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, score,
+    CAST(row_number() OVER (PARTITION BY query_rid ORDER BY score DESC, b.vec_id NULLS LAST) AS INTEGER) AS rank
+  FROM s JOIN d a ON a.rid = query_rid JOIN d b ON b.rid = s.rid)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

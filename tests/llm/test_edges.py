@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,13 +78,34 @@ def test_scans(spark):
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.26]), (0, [0.5, -0.26]), (1, [1.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (20, [1.0, 1.0]), (None, [1.0, 1.0]), (6, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("q", F.lit("x"))
-    made = [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
-    # floor(64 x): (32, -17) and (64, 64)
-    assert made == [(0, 1, 1, 960), (0, 2, 20, 960), (20, 1, 1, 8192), (20, 2, 0, 960)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("q", F.lit("x")).withColumn("key", F.lit("x"))
+    made = sorted((tuple(r) for r in topk.top_k(df).collect()), key=str)
+    # floor(64 x): (32, -17) and (64, 64); both rows of id 0 are queries and find each other
+    want = [(0, 1, 0, 1313), (0, 2, 1, 960), (0, 3, 20, 960), (0, 4, None, 960), (0, 5, 6, 0)] * 2
+    want += [(20, 1, 1, 8192), (20, 2, None, 8192), (20, 3, 0, 960), (20, 4, 0, 960), (20, 5, 6, 0)]
+    assert made == sorted(want, key=str)
     assert topk.top_k(df.where("vec_id > 100")).count() == 0
 
 
+def test_vectors_by_brute_force(spark):
+    """Huge components, repeated and null ids, vectors of several lengths; several blocks and shards."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 50, (rng.normal(size=4 if i % 3 else 3) * 10.0 ** float(rng.choice([0, 0, 0, 1, 6, 18, 300]))).tolist()) for i in range(120)]
+    rows += [(None, [1.0, 2.0, 3.0, 4.0]), (40, [2.0] * 4), (40, [3.0] * 4), (41, [3.0] * 4)]
+    q = [[floor(Fraction(v) * 64) for v in x] for _, x in rows]
+    want = []
+    for a, (vec, _) in enumerate(rows):
+        if vec is None or vec % 20:
+            continue
+        score = lambda b: min(max(sum(x * y for x, y in zip(q[a], q[b], strict=False)), -(2**63)), 2**63 - 1)  # noqa: E731, B023
+        best = sorted(((-score(b), i is None, i or 0, i) for b, (i, _) in enumerate(rows) if b != a))[:20]
+        want += [(vec, n, i, -s) for n, (s, _, _, i) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block, shard in ((4096, 16384), (3, 10)):
+        made = [tuple(r) for r in topk.top_k(df, block_rows=block, shard_rows=shard).collect()]
+        assert sorted(made, key=str) == sorted(want, key=str)
+
+
 def test_pages(spark):
     rows = [(1, "http://a/", "x" * 50_000), (2, None, None), (3, "u", ""), (4, "u", "x" * 50_000), (None, "u", "y"), (None, "u", "y"), (5, "u", "ü\r\n\r\nWARC/1.1\r\n"), (4, "u", "x" * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("z")).withColumn("first", F.lit(1))
