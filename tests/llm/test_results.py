@@ -319,6 +319,27 @@ def test_secret_links(spark):
     assert sorted(map(tuple, redacted.collect())) == [(5, "token=abc and [SECRET]", 22), (6, None, None)]
 
 
+def test_license_order_and_length(spark):
+    """Shingles count in the template's order and place only; templates of any length; edits within the slack."""
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+    templates = (*licenses.TEMPLATES, ("long", " ".join(words)))
+    names = [n for n, _ in templates]
+    edited = [w for i, w in enumerate(words) if i % 100] + ["other"] * 3
+    cases = [("y " * i + "licensed under the GNU " + "z " * 20 + " License. Released under the MIT License " + "z " * 9, {"MIT-notice"}) for i in range(40)]
+    cases += [("y " * i + "licensed under the GNU or so, and Released under the MIT License", {"MIT-notice"}) for i in range(16)]
+    cases += [("y " * i + " Licensed under the MIT License. " + "z " * 9, {"MIT-notice-alt"}) for i in range(0, 40, 3)]
+    cases += [("y " * i + " ".join(edited), {"long"}) for i in (0, 1, 1000, 5000)]
+    cases += [(" ".join(sorted(words)), set()), (" ".join(words[1500:] + words[:1500]), set()), (" ".join(words[:2000]), set())]
+    cases += [("y " * i + " ".join(t for n, t in templates[:-1] for _ in range(3)), set(names[:-1])) for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    made: dict = {}
+    for r in licenses.license_scan(docs, templates).collect():
+        made.setdefault(r["doc_id"], set()).add(r["license_id"])
+    for i, (t, want) in enumerate(cases):
+        assert made.get(i, set()) >= want and (len(want) > 1 or made.get(i, set()) == want), (i, t[:60], made.get(i))
+
+
 def test_secret_links_by_distance(spark):
     """Links depend on the distance of the parts alone, not on what stands before them."""
     texts = []
@@ -475,8 +496,9 @@ def test_toxicity_of_held_out_rows(spark):
 
 
 def test_bands(spark):
-    bands = licenses.bands_for(0.3)
-    assert (1 - 0.3) ** bands <= 1e-6 < (1 - 0.3) ** (bands - 1)
+    least = licenses.least_similarity(licenses.template_shingles(), licenses.CONTAINMENT)
+    bands = licenses.bands_for(least)
+    assert least >= 0.15 and (1 - least) ** bands <= 1e-6 < (1 - least) ** (bands - 1)
     groups = simhash.groups_for(0.75)
     assert (1 - 0.75**2) ** groups <= 1e-4
 
