@@ -45,11 +45,16 @@ def test_token_counts(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     odd = ["<|endoftext|> a <|endoftext|>", "don't  stop   \n\n x", "日本語 テスト 123", "á‍\U0001f600", "²³ ½ x_y", " ", "'S 'll", "\x85\x1c x"]
     texts = [r["text"] for r in table(spark, SMALL, "documents").collect()] + odd
+    rng = np.random.default_rng(4)
+    pool = [chr(c) for a, b in ((0x20, 0x250), (0x370, 0x600), (0x900, 0xA00), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4E80), (0x1F600, 0x1F640), (0xAC00, 0xAC40)) for c in range(a, b)]
+    odd += ["".join(rng.choice(pool, 80)) for _ in range(300)] + ["“don’t” — она’s 'll  \u3000x\u2028 ½½ " * 9]
+    texts += odd[8:]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    made = {r["doc_id"]: r for r in tokencount.token_counts(docs).collect()}
-    for i, text in enumerate(texts):
-        assert made[i]["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids), text[:80]
-        assert made[i]["n_bytes"] == len(text.encode())
+    for hot in (tokencount.HOT, 10):
+        made = {r["doc_id"]: r for r in tokencount.token_counts(docs, hot=hot).collect()}
+        for i, text in enumerate(texts):
+            assert made[i]["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids), text[:80]
+            assert made[i]["n_bytes"] == len(text.encode())
 
 
 def _print(text: str, words: int = 3) -> int:
