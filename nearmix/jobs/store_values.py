@@ -23,8 +23,7 @@ def main(args: list[str] | None = None) -> None:
     where = a.vocab or a.output + "-vocab"
     if not stores.exists(spark, where):
         tokens.vocabulary(corpus, a.least).write.parquet(where)
-    ids = tokens.token_ids(corpus, spark.read.parquet(where), eos=True)
-    stores.save_storage(tokens.storage(tokens.sequences(ids, corpus)), a.output, a.mode)
+    stores.save_storage(tokens.storage(tokens.sequences(corpus, spark.read.parquet(where), eos=True)), a.output, a.mode)
 
 
 if __name__ == "__main__":

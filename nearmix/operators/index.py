@@ -6,7 +6,8 @@ Layout of an index folder (all Parquet but the configuration):
     transform     (matrix, bias) of the linear map before everything else, if there is one
     centroids     (list_id, centroid), if keys are dealt to lists
     codebook      (m, c, centroid), if keys are quantised
-    postings      (row_id, vec[, list_id]), a folder for each batch of keys; partitioned by list
+    postings      (row_id, vec[, list_id]), a folder for each batch of keys, in it folders of some lists
+                  each, sorted by list: a search reads the folders and row groups it asks for
 
 Fitting never touches postings, and clearing them keeps what was fitted. A batch is written under
 its number, so writing it again (a retried job, a repeated streaming epoch) replaces it.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from nearmix.functions import vectors as V
 from nearmix.operators import ivf, pq, train, transform
-from nearmix.operators.topk import nearest
+from nearmix.operators.topk import LIST_PART, LISTS_PER_PART, nearest
 from nearmix.sources.shared import exists, read_text, remove, write_text
 
 
@@ -98,19 +99,27 @@ class VectorIndex:
 
     # fitting
 
-    def fit(self, keys: DataFrame, rows: int = train.TRAIN_ROWS, seed: int = 0, n_code: int = pq.CODEWORDS) -> VectorIndex:
-        """Fit what the configuration asks for on the first ``rows`` keys(row_id, vec)."""
+    def fit(
+        self, keys: DataFrame, rows: int = train.TRAIN_ROWS, seed: int = 0, n_code: int = pq.CODEWORDS, code_rows: int = train.CODE_ROWS
+    ) -> VectorIndex:
+        """Fit what the configuration asks for on the first ``rows`` keys(row_id, vec).
+
+        Centroids and PCA are fitted by distributed passes over all of these; rotations and
+        codebooks, of at most 256 codewords a sub-space, on ``code_rows`` of them.
+        """
         c = self.config
-        x = train.sample(keys, rows, c.metric)
+        learnt = train.first_rows(keys, rows, c.metric)
+        x = train.bounded(learnt, code_rows)
         to = c.transform_dim if c.transform_dim > 0 else x.shape[1]
         self.fitted = Fitted()
         if c.use_pca:
-            self.fitted.matrix, self.fitted.bias = transform.pca(self.spark.createDataFrame([(r.tolist(),) for r in x], "vec array<double>"), x.shape[1], to)
+            self.fitted.matrix, self.fitted.bias = transform.pca(learnt, x.shape[1], to)
         elif c.use_opq:
             self.fitted.matrix = train.rotation(x, c.pq_subvec, to, min(n_code, len(x)), seed=seed)
         y = x if self.fitted.matrix is None else x @ self.fitted.matrix.T + (0 if self.fitted.bias is None else self.fitted.bias)
         if c.ivf_lists:
-            self.fitted.centroids = train.kmeans(y, c.ivf_lists, seed=seed)
+            moved = transform.apply(learnt, self.fitted.matrix, self.fitted.bias, "row_id")
+            self.fitted.centroids = train.lloyd(moved, c.ivf_lists, seed=seed)
             if c.pq_subvec:
                 y = y - self.fitted.centroids[train.nearest_centre(y, self.fitted.centroids)[0]]
         if c.pq_subvec:
@@ -144,10 +153,20 @@ class VectorIndex:
                 out = ivf.residual_codes(out, self.fitted.centroids, self.fitted.codebook)
         elif self.fitted.codebook is not None:
             out = pq.encode(moved, self.fitted.codebook).withColumnRenamed("code", "vec")
-        out.write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
+        writer = out.write
+        if "list_id" in out.columns:
+            # Lists side by side; the ranges go by rows too, so that one list may fill many of them.
+            out = out.withColumn(LIST_PART, F.floor(F.col("list_id") / LISTS_PER_PART).cast("int"))
+            dealt = out.repartitionByRange(F.col(LIST_PART), F.col("list_id"), F.col("row_id")).sortWithinPartitions(LIST_PART, "list_id", "row_id")
+            writer = dealt.write.partitionBy(LIST_PART)
+        writer.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings").drop("batch")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings").drop("batch")
+        """(row_id, vec[, list_id]): what is stored."""
+        return self._stored().drop(LIST_PART)
 
     def __len__(self) -> int:
         return self.postings().count() if exists(self.spark, f"{self.path}/postings") else 0
@@ -161,7 +180,7 @@ class VectorIndex:
         asked, metric, f = self._moved(queries, "qid"), self._inner(), self.fitted
         if f.centroids is not None:
             decode = ivf.residual_decoder(f.centroids, f.codebook) if f.codebook is not None else None
-            found = ivf.search(asked, self.postings(), self._centroid_table(), k, self.nprobe, metric, decode)
+            found = ivf.search(asked, self._stored(), self._centroid_table(), k, self.nprobe, metric, decode)
         elif f.codebook is not None:
             found = pq.nearest_by_table(asked, self.postings().withColumnRenamed("vec", "code"), f.codebook, k, metric)
         else:

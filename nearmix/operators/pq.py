@@ -126,28 +126,34 @@ def table_distance(lut: Column | str, code: Column | str, n_code: int) -> Column
     return F.aggregate(F.transform(code, lambda c, m: F.get(lut, m * n_code + c)), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def nearest_by_table(queries: DataFrame, codes: DataFrame, codebook: np.ndarray, k: int, metric: str = "l2", block: int = LUT_BLOCK) -> DataFrame:
-    """queries(qid, vec), codes(row_id, code) -> (qid, rank, row_id, score) by asymmetric distances; codes are never decoded."""
+def nearest_by_table(
+    queries: DataFrame, codes: DataFrame, codebook: np.ndarray, k: int, metric: str = "l2", block: int = LUT_BLOCK, digits: int | None = None
+) -> DataFrame:
+    """queries(qid, vec), codes(row_id, code) -> (qid, rank, row_id, score) by asymmetric distances; codes are never decoded.
+
+    ``digits``: distances are rounded so before they are compared.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     V.known_metric(metric)
     spark, sign = codes.sparkSession, 1.0 if metric == "l2" else -1.0
     asked = queries.select(F.col("qid").cast("long").alias("qid"), V.prepared("vec", metric).alias("vec")).where("vec IS NOT NULL")
     ready = codes.select(F.col("row_id").cast("long").alias("row_id"), "code").where("code IS NOT NULL")
-    found, waiting = None, None
+    found, waiting, sent = None, None, None
     for rows in query_blocks(asked, block):
         if waiting is not None:
             stored = materialised(waiting, "block")
             found = stored if found is None else found.unionByName(stored)
+            sent.destroy()
         luts = sign * tables_of(np.array([r["vec"] for r in rows], np.float64), codebook, metric)
         sent = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), luts))
-        waiting = ready.mapInArrow(_scan(sent, k, sign), NEIGHBOURS)
+        waiting = ready.mapInArrow(_scan(sent, k, sign, digits), NEIGHBOURS)
     if waiting is None:
         return merged(spark.createDataFrame([], NEIGHBOURS), k, metric)
     return merged(waiting if found is None else found.unionByName(waiting), k, metric)
 
 
-def _scan(sent, k: int, sign: float):
+def _scan(sent, k: int, sign: float, digits: int | None):
     def run(batches):
         qids, luts = sent.value
         best = Best(len(qids), k)
@@ -160,6 +166,8 @@ def _scan(sent, k: int, sign: float):
                 raw = np.zeros((len(qids), len(part)))
                 for m in range(luts.shape[1]):
                     raw += luts[:, m][:, part[:, m]]
+                if digits is not None:
+                    raw = np.round(raw, digits)
                 kth = np.partition(raw, min(k, len(part)) - 1, axis=1)[:, min(k, len(part)) - 1]
                 bound = np.minimum(kth, best.values[:, -1])
                 for i in np.nonzero((raw <= bound[:, None]).any(1))[0].tolist():

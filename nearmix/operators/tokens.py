@@ -7,7 +7,9 @@ ranks and running sums come from ``order.ranked``: no window collects all rows i
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,28 +34,52 @@ def vocabulary(corpus: DataFrame, least: int = 1) -> DataFrame:
     return ranked(counted, order, "_rank").select("token", "cnt", (F.col("_rank") + N_SPECIAL).cast("int").alias("token_id"))
 
 
-def token_ids(corpus: DataFrame, vocab: DataFrame, eos: bool = False) -> DataFrame:
-    """corpus(seq_id, text) -> (seq_id, pos, token_id); words outside the vocabulary are UNK, ``eos`` adds an end mark."""
-    tokens = words("text")
-    each = corpus.select("seq_id", F.posexplode(tokens).alias("pos", "token"))
+def sequences(corpus: DataFrame, vocab: DataFrame, eos: bool = False) -> DataFrame:
+    """corpus(seq_id, text) -> (seq_id, length, tokens), a row per row of the corpus, empty ones included.
+
+    Words outside the vocabulary are UNK, ``eos`` adds an end mark. A vocabulary of up to
+    BROADCAST_WORDS words goes to the tasks and ids are looked up inside the row: no token is
+    shuffled. A larger one is joined to the words.
+    """
     known = vocab.select("token", "token_id")
-    few = len(known.limit(BROADCAST_WORDS + 1).select(F.lit(1)).take(BROADCAST_WORDS + 1)) <= BROADCAST_WORDS
-    joined = each.join(F.broadcast(known) if few else known, "token", "left")
-    out = joined.select("seq_id", "pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
-    if eos:
-        out = out.unionByName(corpus.select("seq_id", F.size(tokens).alias("pos"), F.lit(EOS).alias("token_id")))
-    return out
-
-
-def sequences(ids: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(seq_id, length, tokens) for every row of the corpus, empty ones included."""
-    lists = ids.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("l"))
-    made = lists.select("seq_id", F.transform("l", lambda x: x["token_id"]).alias("tokens"))
+    held = known.limit(BROADCAST_WORDS + 1).toArrow()
+    if held.num_rows > BROADCAST_WORDS:
+        return _joined(corpus, known, eos)
+    sent = corpus.sparkSession.sparkContext.broadcast((held.column(0).combine_chunks(), held.column(1).cast(pa.int32()).combine_chunks()))
+
+    def look_up(batches):
+        names, ids = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat = ids.take(pc.index_in(lists.flatten(), value_set=names)).fill_null(UNK)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            if eos:
+                ends = np.cumsum(sizes)
+                flat = pa.array(np.insert(flat.to_numpy(zero_copy_only=False), ends, EOS), pa.int32())
+                sizes = sizes + 1
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], names=["seq_id", "length", "tokens"])
+
+    kind = dict(corpus.dtypes)["seq_id"]
+    return corpus.select("seq_id", words("text").alias("words")).mapInArrow(look_up, f"seq_id {kind}, length int, tokens array<int>")
+
+
+def _joined(corpus: DataFrame, known: DataFrame, eos: bool) -> DataFrame:
+    """``sequences`` by a shuffle of the words."""
+    each = corpus.select("seq_id", F.posexplode(words("text")).alias("pos", "token")).join(known, "token", "left")
+    lists = each.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")))).alias("l"))
+    made = lists.select("seq_id", F.transform("l", lambda x: x["id"].cast("int")).alias("tokens"))
     joined = corpus.select("seq_id").join(made, "seq_id", "left")
     tokens = F.coalesce("tokens", F.array().cast("array<int>"))
+    tokens = F.concat(tokens, F.array(F.lit(EOS))) if eos else tokens
     return joined.select("seq_id", F.size(tokens).alias("length"), tokens.alias("tokens"))
 
 
+def token_ids(corpus: DataFrame, vocab: DataFrame, eos: bool = False) -> DataFrame:
+    """corpus(seq_id, text) -> (seq_id, pos, token_id), a row per token of ``sequences``."""
+    return sequences(corpus, vocab, eos).select("seq_id", F.posexplode("tokens").alias("pos", "token_id"))
+
+
 def storage(seqs: DataFrame) -> DataFrame:
     """sequences -> (seq_id, slot, length, begin, end, tokens), the longest first, ties by the larger id."""
     placed = ranked(seqs, [F.desc("length"), F.desc("seq_id")], "slot", {"begin": "length"})

@@ -57,22 +57,32 @@ class Best:
         )
 
 
-def offer_slice(best: Best, x: np.ndarray, rows: np.ndarray, q: np.ndarray, metric: str, which: np.ndarray | None = None) -> None:
+#: Postings are stored in folders by this column: numbers of LISTS_PER_PART lists each.
+LIST_PART = "list_part"
+LISTS_PER_PART = 32
+
+
+def offer_slice(
+    best: Best, x: np.ndarray, rows: np.ndarray, q: np.ndarray, metric: str, which: np.ndarray | None = None, digits: int | None = None
+) -> None:
     """Offer keys x to queries q: preselect by a matrix product, compute the rest exactly.
 
-    which: places of q among the queries of ``best``; all of them, if not given.
+    which: places of q among the queries of ``best``; all of them, if not given. Distances are rounded
+    to ``digits``.
     """
     which = np.arange(len(q)) if which is None else which
     product = q @ x.T
     rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * product if metric == "l2" else -product
     slack = 1e-9 * (1 + np.abs(rough).max()) if rough.size else 0.0
+    if digits is not None:
+        slack += 10.0**-digits
     k = min(best.k, rough.shape[1])
     local = np.partition(rough, k - 1, axis=1)[:, k - 1]
     bound = np.minimum(local, best.values[which, -1]) + slack
     for i in np.nonzero((rough <= bound[:, None]).any(1))[0].tolist():
         pick = np.nonzero(rough[i] <= bound[i])[0]
         exact = ((x[pick] - q[i]) ** 2).sum(1) if metric == "l2" else -(x[pick] * q[i]).sum(1)
-        best.offer(int(which[i]), exact, rows[pick])
+        best.offer(int(which[i]), exact if digits is None else np.round(exact, digits), rows[pick])
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[list]:
@@ -101,12 +111,14 @@ def nearest(
     metric: str = "l2",
     block: int = QUERY_BLOCK,
     decode: Callable[[np.ndarray, np.ndarray | None], np.ndarray] | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """queries(qid, vec), keys(row_id, vec) -> (qid, rank, row_id, score).
 
     If queries have ``lists`` (an array of list numbers) and keys ``list_id``, a query meets the keys
     of its lists only. ``decode`` makes vectors of what keys.vec holds (codes) and the list numbers.
-    Rows without a vector take no part.
+    Rows without a vector take no part. ``digits``: distances are rounded so before they are compared,
+    so that rows whose sums differ in their last digits tie, and the smaller row_id is first.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -114,21 +126,33 @@ def nearest(
     spark = keys.sparkSession
     listed = "lists" in queries.columns
     stored = F.col("vec") if decode else V.prepared("vec", metric)
-    own = ["list_id"] if "list_id" in keys.columns else []
+    own = [c for c in ("list_id", LIST_PART) if c in keys.columns]
     ready = keys.select(F.col("row_id").cast("long").alias("row_id"), stored.alias("vec"), *own).where("vec IS NOT NULL")
     asked = queries.select(F.col("qid").cast("long").alias("qid"), V.prepared("vec", metric).alias("vec"), *(["lists"] if listed else []))
-    found, waiting = None, None
+    found, waiting, held = None, None, None
     for rows in query_blocks(asked.where("vec IS NOT NULL"), block):
         if waiting is not None:
             # What a block found is stored before the next is sent.
             stored_part = materialised(waiting, "block")
             found = stored_part if found is None else found.unionByName(stored_part)
-        waiting = ready.mapInArrow(_local(_sent(spark, rows, listed), k, metric, decode, bool(own)), NEIGHBOURS)
+            held.destroy()
+        held = _sent(spark, rows, listed)
+        waiting = _asked_for(ready, rows, listed).mapInArrow(_local(held, k, metric, decode, bool(own), digits), NEIGHBOURS)
     if waiting is None:
         return merged(spark.createDataFrame([], NEIGHBOURS), k, metric)
     return merged(waiting if found is None else found.unionByName(waiting), k, metric)
 
 
+def _asked_for(keys: DataFrame, rows: list, listed: bool) -> DataFrame:
+    """The keys of the lists that a block of queries asks for; on stored postings the scan is pruned by folder and by row group."""
+    if listed:
+        lists = sorted({n for r in rows for n in r["lists"] or []})
+        if LIST_PART in keys.columns:
+            keys = keys.where(F.col(LIST_PART).isin(sorted({n // LISTS_PER_PART for n in lists})))
+        keys = keys.where(F.col("list_id").isin(lists))
+    return keys.drop(LIST_PART)
+
+
 def _sent(spark, rows: list, listed: bool):
     """A block of queries as a broadcast: ids, vectors and, by list, the places of the queries that ask for it."""
     of_list = None
@@ -141,7 +165,7 @@ def _sent(spark, rows: list, listed: bool):
     return spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64), of_list))
 
 
-def _local(sent, k: int, metric: str, decode, has_list: bool):
+def _local(sent, k: int, metric: str, decode, has_list: bool, digits: int | None):
     """A task's keys, batch by batch -> its k best for each query."""
 
     def run(batches):
@@ -160,7 +184,7 @@ def _local(sent, k: int, metric: str, decode, has_list: bool):
                 for at in range(0, len(mine), KEY_SLICE):
                     pick = mine[at : at + KEY_SLICE]
                     x = held[pick] if decode is None else decode(held[pick], None if lists is None else lists[pick])
-                    offer_slice(best, x, rows[pick], q if which is None else q[which], metric, which)
+                    offer_slice(best, x, rows[pick], q if which is None else q[which], metric, which, digits)
         yield best.table(qids, 1.0 if metric == "l2" else -1.0)
 
     return run

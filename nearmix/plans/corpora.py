@@ -15,6 +15,7 @@ from nearmix.operators import tokens
 from nearmix.operators.order import ranked
 from nearmix.plans import tables as T
 from nearmix.sources import stores
+from nearmix.sources.shared import materialised
 
 LEAST = 2
 MAX_TOKENS, MAX_SENTENCES = 6000, 128
@@ -36,14 +37,14 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(corpus(spark, sf_dir), LEAST)
 
 
-def _sequences(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+def _sequences(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Sequences with end marks, under the vocabulary of the first corpus."""
     rows = corpus(spark, sf_dir) if rows is None else rows
-    return tokens.sequences(tokens.token_ids(rows, _vocabulary(spark, sf_dir), eos=True), rows)
+    return tokens.sequences(rows, _vocabulary(spark, sf_dir) if vocab is None else vocab, eos=True)
 
 
-def _storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.storage(_sequences(spark, sf_dir))
+def _storage(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    return tokens.storage(_sequences(spark, sf_dir, vocab=vocab))
 
 
 def digest(ids: Column | str) -> Column:
@@ -75,8 +76,9 @@ def token_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = tokens.storage(_sequences(spark, sf_dir, second_corpus(spark, sf_dir)))
-    return tokens.merge(_storage(spark, sf_dir), other).select("seq_id", "slot", "length", "begin", "end", digest("tokens").alias("tokens"))
+    vocab = materialised(_vocabulary(spark, sf_dir), "vocabulary")
+    other = tokens.storage(_sequences(spark, sf_dir, second_corpus(spark, sf_dir), vocab))
+    return tokens.merge(_storage(spark, sf_dir, vocab), other).select("seq_id", "slot", "length", "begin", "end", digest("tokens").alias("tokens"))
 
 
 def shift_right(spark: SparkSession, sf_dir: str) -> DataFrame:

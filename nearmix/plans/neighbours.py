@@ -72,18 +72,13 @@ def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pq_adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = T.codebook(spark, sf_dir)
-    return _settled(pq.nearest_by_table(T.queries(spark, sf_dir), pq.encode(T.keys(spark, sf_dir), book), book, TOPK))
+    return _told(pq.nearest_by_table(T.queries(spark, sf_dir), pq.encode(T.keys(spark, sf_dir), book), book, TOPK, digits=6))
 
 
 def pq_flat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = T.codebook(spark, sf_dir)
     codes = pq.encode(T.keys(spark, sf_dir), book).withColumnRenamed("code", "vec")
-    return _settled(nearest(T.queries(spark, sf_dir), codes, TOPK, "l2", decode=lambda code, _: pq.decoded(code, book)))
-
-
-def _settled(found: DataFrame) -> DataFrame:
-    """Codes repeat, and equal codes may differ in the last digits of their sums: only scores are told."""
-    return found.select("qid", "rank", F.round("score", 6).alias("score"))
+    return _told(nearest(T.queries(spark, sf_dir), codes, TOPK, "l2", decode=lambda code, _: pq.decoded(code, book), digits=6))
 
 
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +100,8 @@ def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = {r["list_id"]: r["centroid"] for r in centroids.collect()}
     held = np.array([rows[i] for i in range(len(rows))])
     coded = ivf.residual_codes(ivf.postings(T.keys(spark, sf_dir), centroids), held, book)
-    found = ivf.search(T.queries(spark, sf_dir), coded, centroids, TOPK, NPROBE, decode=ivf.residual_decoder(held, book))
-    return _settled(found)
+    found = ivf.search(T.queries(spark, sf_dir), coded, centroids, TOPK, NPROBE, decode=ivf.residual_decoder(held, book), digits=6)
+    return _told(found)
 
 
 def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +119,7 @@ def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted lists with fitted centroids."""
     keys = T.keys(spark, sf_dir)
-    fitted = train.kmeans(train.sample(keys), 16)
+    fitted = train.lloyd(train.first_rows(keys), 16)
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted)], "list_id int, centroid array<double>")
     return _told(ivf.search(T.queries(spark, sf_dir), ivf.postings(keys, centroids), centroids, TOPK, 12))
 
@@ -177,7 +172,7 @@ _DECODED = "dec AS (SELECT row_id, flatten(list(word ORDER BY m)) AS z FROM code
 _ADC = """
 adc AS (
   SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank
-  FROM (SELECT qid, row_id, 0e0 - {0} AS score FROM q, dec) QUALIFY rank <= {1})"""
+  FROM (SELECT qid, row_id, round(0e0 - {0}, 6) AS score FROM q, dec) QUALIFY rank <= {1})"""
 _LISTED = f"""
 near AS (
   SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank
@@ -195,7 +190,7 @@ back AS (SELECT row_id, flatten(list(word ORDER BY m)) AS z FROM coded GROUP BY
 whole AS (SELECT row_id, list_id, list_transform(range(1, {T.DIM + 1}), lambda i: z[i] + centroid[i]) AS z FROM back JOIN left_over USING (row_id)),
 adc AS (
   SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank
-  FROM (SELECT qid, row_id, 0e0 - {T.L2_SQL.format('y', 'z')} AS score FROM q JOIN probed USING (qid) JOIN whole USING (list_id)) QUALIFY rank <= {TOPK})"""
+  FROM (SELECT qid, row_id, round(0e0 - {T.L2_SQL.format('y', 'z')}, 6) AS score FROM q JOIN probed USING (qid) JOIN whole USING (list_id)) QUALIFY rank <= {TOPK})"""
 
 SQL = {
     "knn_l2_topk": T.sql(T.K_SQL, T.Q_SQL, T.l2_near(TOPK), select=_NEAR),
@@ -216,8 +211,8 @@ SQL = {
     ),
     "pq_encode": T.sql(T.K_SQL, T.CODES_SQL, select="SELECT row_id, string_agg(CAST(c AS VARCHAR), ' ' ORDER BY m) AS code FROM code GROUP BY row_id"),
     "pq_decode": T.sql(T.K_SQL, T.CODES_SQL, _DECODED, select=f"SELECT row_id, {FLAT_SQL.format('z').replace('4', str(T.DIGITS))} AS vec FROM dec"),
-    "pq_adc_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, round(score, 6) AS score FROM adc"),
-    "pq_flat_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, round(score, 6) AS score FROM adc"),
+    "pq_adc_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, row_id, score FROM adc"),
+    "pq_flat_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODES_SQL, _DECODED, _ADC.format(T.L2_SQL.format("y", "z"), TOPK), select="SELECT qid, rank, row_id, score FROM adc"),
     "ivf_assign": T.sql(T.K_SQL, T.MEANS_SQL, _ASSIGN, select="SELECT row_id, list_id FROM posted"),
     "ivf_probe": T.sql(T.K_SQL, T.Q_SQL, T.MEANS_SQL, _PROBE, select="SELECT qid, rank, list_id FROM probed"),
     "ivf_topk": T.sql(
@@ -225,6 +220,6 @@ SQL = {
         _LISTED,
         select=_NEAR,
     ),
-    "ivfpq_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODEBOOK_SQL, _ASSIGN, _PROBE, _RESIDUAL, select="SELECT qid, rank, round(score, 6) AS score FROM adc"),
+    "ivfpq_topk": T.sql(T.K_SQL, T.Q_SQL, T.CODEBOOK_SQL, _ASSIGN, _PROBE, _RESIDUAL, select="SELECT qid, rank, row_id, score FROM adc"),
     "ivf_list_sizes": T.sql(T.K_SQL, T.MEANS_SQL, _ASSIGN, select="SELECT means.list_id, count(row_id) AS n FROM means LEFT JOIN posted USING (list_id) GROUP BY 1"),
 }

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests) a temporary folder of this machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/nearmix-shared").rstrip("/")
+    """spark.checkpoint.dir; where it is unset, a temporary folder for a local session and an error for any other."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir() + "/nearmix-shared"
+    return base.rstrip("/")
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

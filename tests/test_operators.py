@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from nearmix.functions import encoders, sequences
 from nearmix.functions import vectors as V
 from nearmix.operators import ivf, mix, pq, subset, tokens, train, transform
+from nearmix.operators.index import IndexConfig, build_index
 from nearmix.operators.order import ranked
-from nearmix.operators.topk import Best, nearest, offer_slice, reference_topk
+from nearmix.operators.topk import Best, _asked_for, nearest, offer_slice, reference_topk
 from nearmix.plans.retrieval import KnnQuery, Vanilla
 
 RNG = np.random.default_rng(5)
@@ -128,6 +129,38 @@ def test_lists(spark, nprobe):
         assert [r["row_id"] for r in found.where(F.col("qid") == q).orderBy("rank").collect()] == mine[np.lexsort((mine, d))[:4]].tolist()
 
 
+def test_postings_of_repeated_ids_and_pruned_reads(spark, tmp_path):
+    """A row per key, whatever the ids; a stored index reads the folders of the lists asked for, without a shuffle of vectors."""
+    x = np.random.default_rng(4).normal(size=(200, 4))
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(x[:100])], "list_id int, centroid array<double>")
+    twice = spark.createDataFrame([(1, x[0].tolist()), (1, x[1].tolist()), (None, x[2].tolist()), (3, None)], "row_id long, vec array<double>")
+    assert sorted(r["list_id"] for r in ivf.postings(twice, centroids).collect()) == [0, 1, 2]
+    assert "Exchange" not in ivf.postings(twice, centroids)._jdf.queryExecution().executedPlan().toString()
+    index = build_index(spark, f"file://{tmp_path}/pruned", IndexConfig(ivf_lists=100))
+    index.fit(keys_of(spark, x))
+    index.set_nprobe(2)
+    index.add(keys_of(spark, x))
+    stored = index._stored()
+    one = _asked_for(stored, [{"lists": [3, 5]}], True)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list_part" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "In(list_id, [3,5])" in plan
+    held = {r["row_id"] for r in stored.where("list_id IN (3, 5)").collect()}
+    assert {r["row_id"] for r in one.collect()} == held and 0 < len(held) < 200
+    best = {r["qid"]: r["row_id"] for r in index.search(keys_of(spark, x, "qid"), 1).collect()}
+    assert best == {i: i for i in range(200)}
+
+
+def test_distributed_centres(spark):
+    """Lloyd steps over tasks end where those on one machine end."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.1 + c for c in ((0, 0, 0), (5, 0, 0), (0, 5, 5))])
+    made = train.lloyd(train.first_rows(keys_of(spark, x).repartition(5)), 3)
+    want = np.stack([x[i * 60 : i * 60 + 60].mean(0) for i in range(3)])
+    assert np.allclose(made[np.lexsort(made.T[::-1])], want[np.lexsort(want.T[::-1])], atol=1e-6)
+    first = train.first_rows(keys_of(spark, x), 70)
+    assert sorted(r["row_id"] for r in first.collect()) == list(range(70)) and train.bounded(first, 9).shape == (9, 3)
+
+
 def test_centroid_blocks(spark, monkeypatch):
     x, c = RNG.normal(size=(30, 4)), RNG.normal(size=(7, 4))
     centroids = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(c)], "list_id int, centroid array<double>")
@@ -251,7 +284,7 @@ def test_vocabulary_and_ids(spark):
     corpus = corpus_of(spark, ["b a b", " c\tb  a\n", None, ""])
     vocab = tokens.vocabulary(corpus, 2)
     assert table_of(vocab, "token_id") == [("b", 3, 4), ("a", 2, 5)]
-    seqs = tokens.sequences(tokens.token_ids(corpus, vocab, eos=True), corpus)
+    seqs = tokens.sequences(corpus, vocab, eos=True)
     assert table_of(seqs, "seq_id") == [(0, 4, [4, 5, 4, 2]), (1, 4, [3, 4, 5, 2]), (2, 1, [2]), (3, 1, [2])]
 
 
