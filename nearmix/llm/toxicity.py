@@ -6,8 +6,8 @@ cover algorithm picks them - by how many bytes they save over how many occurrenc
 choice discounting what earlier ones cover - but with contrast: only segments that ordinary
 documents hold RATIO times more rarely. A segment needs support by documents and by the words
 before it, so neither one long document nor copies of a document make one. With the ordinary part shared and of equal place, the two lengths of a
-window differ only where toxic segments save bytes; a plain pair of trained dictionaries separates
-the classes much worse (see the README).
+window differ only where toxic segments save bytes. A pair of dictionaries that the library trains on the
+two classes by itself separates them much worse (the README has the figures of both).
 
 A whole text is read as windows of WINDOW words; each window is compressed with either dictionary,
 and the saved bytes of the windows make a document's features: the largest saving, shares and
@@ -15,12 +15,15 @@ numbers of windows that save at least so much, and the number of windows. Their
 labelled documents that the dictionaries haven't seen and weighted to the labels' own rate of
 toxic rows, is the calibrated score.
 
-Learning uses at most TOXIC + ORDINARY labelled rows (drawn by a hash of the id, texts of up to
-LONGEST characters) and never the held-out fold. Prediction uses the text alone, whole.
+Learning uses a bounded sample of the labelled rows, whose bounds are parameters: ``toxic`` +
+``ordinary`` rows drawn by a hash of the id, with texts of at most ``longest`` characters; the
+base of the dictionaries is trained on at most ``base_windows`` of the sample's windows, evenly
+spread. The held-out fold is never learnt from. Prediction uses the text alone, whole.
 
 Defined results: null and empty texts have no window and get the score of no saving; without
 labels of both kinds every score is 0; repeated rows give repeated result rows; a null doc_id is
-scored, not held out and not learnt from; of several labels of an id the largest counts.
+scored, not held out and not learnt from; of several labels of an id the largest counts, of its
+several texts the smallest.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from nearmix.llm.common import held_out, learnable, map_texts, table
 
 TOXIC, ORDINARY = 1200, 3000
 LONGEST = 100_000
+BASE_WINDOWS = 8000
 WINDOW = 16
 #: A toxic segment is so many times as frequent in toxic documents as in ordinary ones, and in this share and number of them.
 RATIO = 5
@@ -55,7 +59,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 
 def _stems(word: str) -> set[str]:
-    w = f" {word[:40]} "
+    w = f" {word} "
     return {w[i : i + n] for n in range(_SHORT, _LONG + 1) for i in range(len(w) + 1 - n)}
 
 
@@ -113,10 +117,10 @@ def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
     return kept
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def dictionaries(toxic: list[str], ordinary: list[str], base_windows: int = BASE_WINDOWS) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, of equal length."""
     samples = [w for t in ordinary for w in windows(t)]
-    samples = samples[:: max(1, len(samples) // 8000)]
+    samples = samples[:: max(1, -(-len(samples) // base_windows))]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
@@ -176,7 +180,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return [float(v) for v in w]
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> Scorer:
+def train(
+    docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY, longest: int = LONGEST, base_windows: int = BASE_WINDOWS
+) -> Scorer:
     """Learn dictionaries and score from a bounded sample of the labelled rows outside the held-out fold."""
     marked = labels.where(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -185,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
         return none
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     drawn = marked.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(marked.where("toxic = 0").orderBy(*order).limit(ordinary))
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     kinds = {k: [r["text"] for r in rows if r["toxic"] == k] for k in (0, 1)}
     if not kinds[0] or not kinds[1]:
@@ -194,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
     # Two of three go to the dictionaries, the third calibrates.
     own = {k: [t for i, t in enumerate(v) if i % 3] or v for k, v in kinds.items()}
     rest = {k: v[::3] for k, v in kinds.items()}
-    scorer = Scorer(*dictionaries(own[1], own[0]))
+    scorer = Scorer(*dictionaries(own[1], own[0], base_windows))
     x = np.array([scorer.features(t) for k in (0, 1) for t in rest[k]])
     y = np.array([k for k in (0, 1) for _ in rest[k]], float)
     rate = sizes[1] / (sizes[0] + sizes[1])
@@ -202,9 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int
     return Scorer(scorer.toxic, scorer.ordinary, logistic(x, y, weight))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, toxic: int = TOXIC, ordinary: int = ORDINARY) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, toxic: int = TOXIC, ordinary: int = ORDINARY, longest: int = LONGEST, base_windows: int = BASE_WINDOWS
+) -> DataFrame:
     """docs(doc_id, text, ..), labels(doc_id, toxic, ..) -> (doc_id, held_out, score, predicted)."""
-    scorer = train(docs, labels, toxic, ordinary)
+    scorer = train(docs, labels, toxic, ordinary, longest, base_windows)
 
     def make():
         def step(batch: pa.RecordBatch):
