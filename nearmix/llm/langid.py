@@ -72,8 +72,10 @@ class Encoder:
     def profile(self, text: str | None) -> np.ndarray | None:
         """The bundle of all n-grams of the whole text, or None if it has no letter."""
         c = self.classes(text)
-        if c is None:
-            return None
+        return None if c is None else self.bundle(c)
+
+    def bundle(self, c: np.ndarray) -> np.ndarray:
+        """The sum of the n-gram vectors of a text's letter classes."""
         pair, last = c[:-2] * CLASSES + c[1:-1], c[2:]
         met, place = np.unique(pair, return_inverse=True)
         counts = np.bincount(place * CLASSES + last, minlength=len(met) * CLASSES).reshape(len(met), CLASSES).astype(np.float32)
@@ -163,23 +165,35 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.1, letters: int = 200) -> DataFrame:
-    """Drop documents that are no text in a known language.
+def speaks(encoder: Encoder, prototypes: np.ndarray, text: str | None, least: float = 0.3, half: float = 200.0) -> bool:
+    """Whether a text's best cosine is as high as text in a known language must reach at its number of unlike n-grams.
 
-    Those without a letter (``und``) go, and those of at least ``letters`` letters whose cosine is
-    below ``least``: that many letters of any text bring the cosine of its language far above it,
-    while a few words of clean text may lie below and so stay.
+    That number is m = n^2 / sum of squared counts, which the profile's own norm tells: n equal
+    n-grams count as one, n unlike ones as n. The bar is least * m / (m + half), less the noise that
+    random vectors of so many dimensions leave, 1 / sqrt(dimensions). It grows smoothly from below
+    zero, where a few words can't tell a language, to ``least`` for any amount of text.
     """
+    c = encoder.classes(text)
+    if c is None or not len(prototypes):
+        return False
+    p = encoder.bundle(c)
+    norm = float(np.linalg.norm(p))
+    if not norm:
+        return False
+    unlike = (len(c) - 2) ** 2 * encoder.dimensions / norm**2
+    return float((prototypes @ p).max()) / norm >= least * unlike / (unlike + half) - encoder.dimensions**-0.5
+
+
+def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3, half: float = 200.0) -> DataFrame:
+    """Drop documents that are no text in a known language: those without a letter (``und``), and those that ``speaks`` denies."""
     langs, prototypes = train(docs)
     at = docs.columns.index("text")
 
     def make():
-        predict = predictor(langs, prototypes)
+        encoder = Encoder()
 
         def step(batch: pa.RecordBatch):
-            texts = batch.column(at).to_pylist()
-            names, scores = predict(texts)
-            keep = [n != "und" and (s >= least or sum(map(len, _LETTERS.findall(t))) < letters) for t, n, s in zip(texts, names, scores, strict=True)]
+            keep = [speaks(encoder, prototypes, text, least, half) for text in batch.column(at).to_pylist()]
             return batch.filter(pa.array(keep, pa.bool_()))
 
         return step

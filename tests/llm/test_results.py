@@ -39,6 +39,22 @@ def test_language_stage_keeps_clean_texts(spark):
     assert all(not re.search(r"[^\W\d_]", r["text"] or "") for r in gone)
 
 
+def test_language_stage_drops_random_letters_of_any_length(spark):
+    _, prototypes = langid.train(table(spark, MIDDLE, "documents"))
+    encoder, rng = langid.Encoder(), np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    for size in (60, 200, 2_000, 40_000):
+        junk = [" ".join("".join(rng.choice(letters, 6)) for _ in range(size)) for _ in range(5)]
+        assert not any(langid.speaks(encoder, prototypes, t) for t in junk), size
+
+
+def test_bundle_is_the_sum_of_bound_letter_vectors():
+    encoder = langid.Encoder(dimensions=64)
+    c = encoder.classes("Straße, straße näh")
+    direct = sum(np.roll(encoder.third[a], 2) * np.roll(encoder.third[b], 1) * encoder.third[d] for a, b, d in zip(c, c[1:], c[2:]))
+    assert np.allclose(encoder.bundle(c), direct)
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
