@@ -143,6 +143,14 @@ def nearest(
     return merged(waiting if found is None else found.unionByName(waiting), k, metric)
 
 
+def without_own(found: DataFrame, k: int) -> DataFrame:
+    """Neighbours less a query's own row, whose row_id is the qid; ranks close up and go to k."""
+    own = F.max(F.when(F.col("row_id") == F.col("qid"), F.col("rank"))).over(Window.partitionBy("qid"))
+    after = F.coalesce((F.col("rank") > own).cast("long"), F.lit(0))
+    rest = found.withColumn("rank", (F.col("rank") - after).cast("long")).where("row_id <> qid")
+    return rest.where(F.col("rank") <= k).select(*found.columns)
+
+
 def _asked_for(keys: DataFrame, rows: list, listed: bool) -> DataFrame:
     """The keys of the lists that a block of queries asks for; on stored postings the scan is pruned by folder and by row group."""
     if listed:

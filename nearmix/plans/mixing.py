@@ -18,7 +18,7 @@ THRESHOLD = -1.2
 TEMPERATURE = 0.5
 WEIGHT = 0.5
 VANILLA = KnnQuery(topk=16, weight=WEIGHT, temperature=TEMPERATURE, pad=T.PAD)
-GATED = KnnQuery(topk=16, weight=WEIGHT, temperature=TEMPERATURE, pad=T.PAD, threshold=THRESHOLD)
+GATED = KnnQuery(topk=16, weight=WEIGHT, temperature=TEMPERATURE, pad=T.PAD, threshold=THRESHOLD, leave_own=True)
 SUBSET = KnnQuery(topk=16, src_topk=5, weight=WEIGHT, temperature=TEMPERATURE, pad=T.PAD)
 
 
@@ -40,10 +40,9 @@ def knn_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours below the threshold go; queries whose best isn't above it keep the model's own distribution.
 
-    The queries themselves aren't keys here, so that some have no near neighbour.
+    A query's own row is no neighbour here, so that some have no near one.
     """
-    keys = T.keys(spark, sf_dir).where(F.col("row_id") % T.EVERY != 0)
-    made = Vanilla(GATED, T.values(spark, sf_dir), keys=keys).mixed(T.model(spark, sf_dir), T.queries(spark, sf_dir))
+    made = _vanilla(GATED, spark, sf_dir).mixed(T.model(spark, sf_dir), T.queries(spark, sf_dir))
     return made.select("qid", "token_id", F.round("lprob", 6).alias("lprob"))
 
 
@@ -193,7 +192,7 @@ best AS (
   SELECT qid, row_id, token_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand_pos) AS rank
   FROM (SELECT qid, cand_pos, row_id, token_id, 0e0 - {T.L2_SQL.format('y', 'z')} AS score FROM q JOIN cand USING (sent_id) JOIN dec USING (row_id))
   QUALIFY rank <= {SUBSET.topk})"""
-_GATED_NEAR = T.l2_near(16).replace("FROM q, k)", f"FROM q, k WHERE row_id % {T.EVERY} <> 0)")
+_GATED_NEAR = T.l2_near(16).replace("FROM q, k)", "FROM q, k WHERE row_id <> qid)")
 
 SQL = {
     "knn_vanilla_mix": T.sql(T.K_SQL, T.Q_SQL, T.l2_near(16), _VALUED, _softmax("soft", "valued"), T.model_sql("model"), _mixed("made", "model", "soft"), select=_LPROB + "made"),

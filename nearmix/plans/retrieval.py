@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from nearmix.functions import vectors as V
 from nearmix.operators import mix, subset
 from nearmix.operators.index import VectorIndex
-from nearmix.operators.topk import nearest
+from nearmix.operators.topk import nearest, without_own
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,8 @@ class KnnQuery:
     ensemble: bool = False
     pad: int | None = 1
     language_token: int | None = None
+    #: Queries are rows of the store themselves (qid is their row_id), and none is its own neighbour.
+    leave_own: bool = False
 
     def mode(self, src_model: str | None = None, src_key: str = "senttr") -> str:
         """plain, vanilla or subset: sentences are asked first if a sentence model or the encoder's own states are named."""
@@ -69,12 +71,15 @@ class Vanilla(Retriever):
         self.values, self.index, self.keys, self.metric = values, index, keys, metric
 
     def neighbours(self, queries: DataFrame) -> DataFrame:
+        k = self.query.topk + self.query.leave_own
         if self.index is None:
-            found = nearest(queries, self.keys, self.query.topk, self.metric)
+            found = nearest(queries, self.keys, k, self.metric)
         else:
             self.index.set_nprobe(self.query.nprobe)
             self.index.set_efsearch(self.query.efsearch)
-            found = self.index.search(queries, self.query.topk)
+            found = self.index.search(queries, k)
+        if self.query.leave_own:
+            found = without_own(found, self.query.topk)
         return mix.with_values(found, self.values)
 
 
