@@ -40,6 +40,7 @@ is not null (null if there is none). An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import ceil, comb, log, pi
 
@@ -332,30 +333,48 @@ def _block_keys(radius: int, bits: int, m: int):
 
 
 def _prints(words: int, bits: int, groups: int, rows: int):
-    """Batches of texts -> (doc_id, text_key, fp), with groups also (keys, shingles), and fp is of the set and ends in its digest."""
+    """Batches of texts -> (doc_id, text_key, fp), with groups also keys, and fp is of the set and ends in its digest."""
 
     def step(batch: pa.RecordBatch):
-        fps, keys, sets = [], [], []
+        fps, keys = [], []
         for text in batch.column(1).to_pylist():
             h = shingle_hashes(text, words)
             if groups:
                 h = np.unique(h)
             fp = b"".join(x.to_bytes(8, "big") for x in reversed(fingerprint(h, bits)))
             if groups:
-                sets.append(h.tobytes())
-                fp += xxhash.xxh3_128_digest(sets[-1], SEED)
+                fp += xxhash.xxh3_128_digest(h.tobytes(), SEED)
                 keys.append(minhash_keys(h, groups, rows))
             fps.append(fp)
         arrays = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps, pa.binary())]
         names = ["doc_id", "text_key", "fp"]
         if groups:
-            arrays += [pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            names += ["keys", "shingles"]
+            arrays.append(pa.array(keys, pa.list_(pa.int64())))
+            names.append("keys")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return lambda: step
 
 
+def _with_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """asked(own, ..) -> the same rows with ``shingles``, the sorted set of the text that ``own``, (id, text_key), names.
+
+    Sets are larger than their texts, so they are made where they are needed instead of stored for
+    all rows; texts are shuffled in their place. Rows that repeat an id and a text are combined first.
+    """
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.groupBy("id", "text_key").agg(F.min("text").alias("text"))
+    found = asked.select("*", "own.id", "own.text_key").drop("own").join(texts, ["id", "text_key"]).drop("id", "text_key")
+    more = [c for c in found.columns if c != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "text") + ", shingles binary"
+
+    def step(batch: pa.RecordBatch):
+        sets = [np.unique(shingle_hashes(text, words)).tobytes() for text in batch.column(len(more)).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(more)], pa.array(sets, pa.binary())], names=[*more, "shingles"])
+
+    return map_texts(found, [*more, "text"], schema, lambda: step, size=4 << 20)
+
+
 def link_sets(nodes: list[bytes], sets: list[np.ndarray], known: list[bytes], radius: int, similarity: float, bits: int) -> list[tuple[bytes, bytes]]:
     """Star edges (node, smallest of its local component) among nodes whose sets have the similarity.
 
@@ -414,12 +433,13 @@ def _block_links(radius: int, similarity: float, bits: int):
     return run
 
 
-def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius: int, similarity: float, bits: int, scratch: Scratch) -> DataFrame:
+def _verified(
+    clusters: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, radius: int, similarity: float, bits: int, scratch: Scratch
+) -> DataFrame:
     """clusters(node, label) of candidates -> edges (u, v) of pairs in one cluster that have the similarity."""
     counts = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    members = clusters.join(counts, "label").join(nodes.selectExpr("fp AS node", "row"), "node")
-    sets = members.join(prints.select("row", "shingles"), "row").selectExpr("node AS fp", "label", "n", "shingles")
-    sets = scratch.store(sets, "sets")
+    members = clusters.join(counts, "label").join(nodes.selectExpr("fp AS node", "own"), "node").selectExpr("node AS fp", "label", "n", "own")
+    sets = scratch.store(_with_sets(members, docs, words), "sets")
     links = _block_links(radius, similarity, bits)
 
     def compared(parts: DataFrame) -> DataFrame:
@@ -434,6 +454,7 @@ def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius:
     edges = scratch.store(compared(sets.withColumn("known", F.col("fp")).withColumn("part", F.explode(deals))), "verified")
     large = sets.where(F.col("n") > BLOCK_ROWS)
     if large.isEmpty():
+        scratch.drop(sets)
         return edges
     linked = scratch.store(components(edges, scratch).selectExpr("node AS fp", "label AS known"), "known")
     marked = large.select("fp", "label", "n").join(linked, "fp", "left").select("fp", "label", "n", F.coalesce("known", "fp").alias("known"))
@@ -442,6 +463,7 @@ def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius:
     main = sizes.groupBy("label", "n").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.max("size").alias("held"))
     main = scratch.store(main.where("held < n").drop("n"), "main")
     if main.isEmpty():
+        scratch.drop(sets)
         return edges
     todo = large.join(main, "label").join(marked.select("fp", "known"), "fp")
     inner, outer = F.ceil(F.col("held") / BLOCK_ROWS), F.ceil((F.col("n") - F.col("held")) / BLOCK_ROWS)
@@ -454,7 +476,9 @@ def _verified(clusters: DataFrame, prints: DataFrame, nodes: DataFrame, radius:
     )
     inside = F.transform(F.sequence(F.lit(0).cast("long"), outer - 1), lambda j: g(own_g, j))
     parts = F.explode(F.when(F.col("known") == F.col("main"), inside).otherwise(outside))
-    return edges.unionByName(scratch.store(compared(todo.withColumn("part", parts)), "verified"))
+    edges = edges.unionByName(scratch.store(compared(todo.withColumn("part", parts)), "verified"))
+    scratch.drop(sets)
+    return edges
 
 
 def _deeper_keys(groups: int, rows: int, first: int):
@@ -467,14 +491,17 @@ def _deeper_keys(groups: int, rows: int, first: int):
     return lambda: step
 
 
-def _divide_hot(keyed: DataFrame, sets: DataFrame, similarity: float, miss: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """keyed(key, fp), sets(fp, shingles) -> shards (key, fp) of at most HOT_ROWS members, and star edges of hotter ones.
+def _divide_hot(
+    keyed: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], similarity: float, miss: float, scratch: Scratch
+) -> tuple[DataFrame, DataFrame | None]:
+    """keyed(key, fp), sets(fp, shingles), or a function that makes them of a table of fp -> shards (key, fp) of at most HOT_ROWS members, and star edges of hotter ones.
 
     Each level deals the members of a hot shard by its own groups of longer keys. A pair that shares
     a shard at one level shares one at the next but for a chance of ``miss``. A level starts from the
     hot shard of the first level, so that the rows of a member don't multiply.
     """
-    out = None
+    out, held = None, None
+    find = sets if callable(sets) else lambda asked: asked.join(sets, "fp")
     now = keyed.select(F.col("key").cast("string").alias("shard"), F.col("key").cast("string").alias("key"), "fp")
     for level, rows in enumerate((*DEEPER, None)):
         hot = scratch.store(now.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "hot")
@@ -490,7 +517,12 @@ def _divide_hot(keyed: DataFrame, sets: DataFrame, similarity: float, miss: floa
             break
         members = scratch.store(now.select("shard", "fp").distinct(), "members")
         groups = groups_for(similarity, rows, miss)
-        asked = members.select("fp").distinct().join(sets, "fp").select("fp", "shingles")
+        asked = members.select("fp").distinct()
+        if held is None:
+            # Later levels' members are among those of the first.
+            asked = held = scratch.store(find(asked).select("fp", "shingles"), "hotsets")
+        else:
+            asked = asked.join(held, "fp").select("fp", "shingles")
         keys = map_texts(asked, ["fp", "shingles"], "fp binary, keys array<long>", _deeper_keys(groups, rows, 10_000 * (level + 1)))
         again = members.join(keys, "fp").select("shard", F.explode("keys").alias("own"), "fp")
         now = scratch.store(again.select("shard", F.concat_ws("/", "shard", F.lit(level), "own").alias("key"), "fp"), "again")
@@ -506,18 +538,20 @@ def _classified(
     if similarity is not None:
         rows, radius = 2, radius_for(similarity, bits, miss)
         groups = groups_for(similarity, rows, miss)
-    schema = "doc_id long, text_key long, fp binary" + (", keys array<long>, shingles binary" if groups else "")
+    schema = "doc_id long, text_key long, fp binary" + (", keys array<long>" if groups else "")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     prints = map_texts(texts, ["doc_id", "text", "text_key"], schema, _prints(words, bits, groups, rows))
-    prints = scratch.store(prints.withColumn("row", F.monotonically_increasing_id()) if groups else prints, "prints")
-    lowest = [F.min("doc_id").alias("first"), *([F.min("row").alias("row")] if groups else [])]
+    prints = scratch.store(prints, "prints")
+    own = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
+    lowest = [F.min("doc_id").alias("first"), *([F.min(own).alias("own")] if groups else [])]
     nodes = scratch.store(prints.groupBy("fp").agg(*lowest), "nodes")
     stars = None
     if groups:
         # Equal sets have equal keys; each distinct (key, fp) is one row.
         keyed = scratch.store(prints.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp"), "keyed")
-        sets = prints.join(nodes.select("row"), "row", "left_semi").select("fp", "shingles")
-        keyed, stars = _divide_hot(keyed, sets, similarity, miss, scratch)
+        stored = keyed
+        find = lambda asked: _with_sets(asked.join(nodes.select("fp", "own"), "fp"), docs, words)
+        keyed, stars = _divide_hot(keyed, find, similarity, miss, scratch)
     else:
         m = blocks_for(nodes.count(), radius, bits)
         keyed = map_texts(nodes, ["fp"], "key binary, fp binary", _block_keys(radius, bits, m), 4096)
@@ -526,7 +560,8 @@ def _classified(
     if groups:
         edges = edges if stars is None else edges.unionByName(stars)
         clusters = scratch.store(components(edges, scratch), "clusters")
-        edges = _verified(clusters, prints, nodes, radius, similarity, bits, scratch)
+        scratch.drop(stored)
+        edges = _verified(clusters, docs, nodes, words, radius, similarity, bits, scratch)
     labels = scratch.store(components(edges, scratch).join(nodes.selectExpr("fp AS node", "first"), "node"), "labels")
     firsts = scratch.store(labels.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
     linked = scratch.store(labels.join(firsts, "label").select(F.col("node").alias("fp"), "label", "component_id"), "linked")
