@@ -64,6 +64,8 @@ HOT_ROWS = 1024
 DEEPER = (4, 6, 8)
 #: Shingle sets of a cluster that a block of the verification holds.
 BLOCK_ROWS = 256
+#: Bits of the sieve that texts pass before they are shuffled: 2^18 rows of 16 bytes at most.
+SIEVE_BITS = 1 << 24
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -356,15 +358,24 @@ def _prints(words: int, bits: int, groups: int, rows: int):
     return lambda: step
 
 
-def _with_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _with_sets(asked: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """asked(own, ..) -> the same rows with ``shingles``, the sorted set of the text that ``own``, (id, text_key), names.
 
     Sets are larger than their texts, so they are made where they are needed instead of stored for
-    all rows; texts are shuffled in their place. Rows that repeat an id and a text are combined first.
+    all rows; texts are shuffled in their place. Only texts that pass a sieve are: a table of SIEVE_BITS
+    bits at most, one set for each hash of an ``own``, is broadcast as rows of 64 bits. The join on
+    ``own`` itself decides, so a sieve that is full costs shuffling and changes no result. Rows that
+    repeat an id and a text are combined first.
     """
+    asked = scratch.store(asked.select("*", "own.id", "own.text_key").drop("own"), "asked")
+    at = F.pmod(F.xxhash64("id", "text_key"), F.lit(SIEVE_BITS))
+    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    sieve = asked.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("held"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    spots = texts.withColumn("at", at).withColumn("word", F.shiftright("at", 6))
+    texts = spots.join(F.broadcast(sieve), "word").where(F.col("held").bitwiseAND(bit) != 0)
     texts = texts.groupBy("id", "text_key").agg(F.min("text").alias("text"))
-    found = asked.select("*", "own.id", "own.text_key").drop("own").join(texts, ["id", "text_key"]).drop("id", "text_key")
+    found = asked.join(texts, ["id", "text_key"]).drop("id", "text_key")
     more = [c for c in found.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "text") + ", shingles binary"
 
@@ -439,7 +450,7 @@ def _verified(
     """clusters(node, label) of candidates -> edges (u, v) of pairs in one cluster that have the similarity."""
     counts = clusters.groupBy("label").agg(F.count("*").alias("n"))
     members = clusters.join(counts, "label").join(nodes.selectExpr("fp AS node", "own"), "node").selectExpr("node AS fp", "label", "n", "own")
-    sets = scratch.store(_with_sets(members, docs, words), "sets")
+    sets = scratch.store(_with_sets(members, docs, words, scratch), "sets")
     links = _block_links(radius, similarity, bits)
 
     def compared(parts: DataFrame) -> DataFrame:
@@ -550,7 +561,7 @@ def _classified(
         # Equal sets have equal keys; each distinct (key, fp) is one row.
         keyed = scratch.store(prints.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp"), "keyed")
         stored = keyed
-        find = lambda asked: _with_sets(asked.join(nodes.select("fp", "own"), "fp"), docs, words)
+        find = lambda asked: _with_sets(asked.join(nodes.select("fp", "own"), "fp"), docs, words, scratch)
         keyed, stars = _divide_hot(keyed, find, similarity, miss, scratch)
     else:
         m = blocks_for(nodes.count(), radius, bits)
