@@ -13,7 +13,7 @@ from nearmix.functions import vectors as V
 from nearmix.operators import ivf, mix, pq, subset, tokens, train, transform
 from nearmix.operators.index import IndexConfig, build_index
 from nearmix.operators.order import ranked
-from nearmix.operators.topk import Best, _asked_for, nearest, offer_slice, reference_topk
+from nearmix.operators.topk import Best, _asked_for, nearest, offer_slice, reference_topk, without_own
 from nearmix.plans.retrieval import KnnQuery, Vanilla
 
 RNG = np.random.default_rng(5)
@@ -350,3 +350,9 @@ def test_beam_reorder(spark):
     state = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "sent_id long, s string")
     order = spark.createDataFrame([(0, 5), (1, 4), (2, 0), (3, 1)], "place long, source long")
     assert table_of(subset.reorder(state, order, 2), "sent_id") == [(0, "c"), (1, "a")]
+
+
+def test_own_row_is_left_out(spark):
+    found = spark.createDataFrame([(1, 1, 5, 0.0), (1, 2, 1, 0.0), (1, 3, 7, -1.0), (2, 1, 3, 0.0), (2, 2, 4, 0.0), (2, 3, 6, -1.0)], "qid long, rank long, row_id long, score double")
+    kept = [tuple(r)[:3] for r in without_own(found, 2).orderBy("qid", "rank").collect()]
+    assert kept == [(1, 1, 5), (1, 2, 7), (2, 1, 3), (2, 2, 4)]
