@@ -47,7 +47,7 @@ from math import ceil, comb, log, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmix.llm.common import Scratch, map_texts, table
@@ -358,6 +358,26 @@ def _prints(words: int, bits: int, groups: int, rows: int):
     return lambda: step
 
 
+def _row_bit(id_, text_key):
+    """Number of the sieve's bit that stands for a row."""
+    return F.pmod(F.xxhash64(F.coalesce(id_.cast("long"), F.lit(0)), text_key), F.lit(SIEVE_BITS))
+
+
+def _sieve(rows: DataFrame) -> DataFrame:
+    """rows(id, text_key) -> (sieve_word, sieve_held), words of 64 bits: one bit is set for each row."""
+    spots = rows.select(_row_bit(F.col("id"), F.col("text_key")).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    return spots.groupBy(F.shiftright("at", 6).alias("sieve_word")).agg(F.bit_or(bit).alias("sieve_held"))
+
+
+def _through(rows: DataFrame, sieve: DataFrame) -> tuple[DataFrame, Column]:
+    """rows(id, text_key, ..) beside their word of a broadcast sieve, and whether the bit of a row is set."""
+    at = _row_bit(F.col("id"), F.col("text_key"))
+    marked = rows.withColumn("sieve_at", at).withColumn("sieve_word", F.shiftright("sieve_at", 6))
+    marked = marked.join(F.broadcast(sieve), "sieve_word", "left")
+    return marked, F.coalesce(F.expr("shiftright(sieve_held, cast(sieve_at & 63 AS int)) & 1") == 1, F.lit(False))
+
+
 def _with_sets(asked: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """asked(own, ..) -> the same rows with ``shingles``, the sorted set of the text that ``own``, (id, text_key), names.
 
@@ -368,12 +388,9 @@ def _with_sets(asked: DataFrame, docs: DataFrame, words: int, scratch: Scratch)
     repeat an id and a text are combined first.
     """
     asked = scratch.store(asked.select("*", "own.id", "own.text_key").drop("own"), "asked")
-    at = F.pmod(F.xxhash64("id", "text_key"), F.lit(SIEVE_BITS))
-    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-    sieve = asked.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("held"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    spots = texts.withColumn("at", at).withColumn("word", F.shiftright("at", 6))
-    texts = spots.join(F.broadcast(sieve), "word").where(F.col("held").bitwiseAND(bit) != 0)
+    marked, passes = _through(texts, _sieve(asked))
+    texts = marked.where(passes)
     texts = texts.groupBy("id", "text_key").agg(F.min("text").alias("text"))
     found = asked.join(texts, ["id", "text_key"]).drop("id", "text_key")
     more = [c for c in found.columns if c != "text"]
@@ -554,13 +571,12 @@ def _classified(
     prints = map_texts(texts, ["doc_id", "text", "text_key"], schema, _prints(words, bits, groups, rows))
     prints = scratch.store(prints, "prints")
     own = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
-    lowest = [F.min("doc_id").alias("first"), *([F.min(own).alias("own")] if groups else [])]
+    lowest = [F.min("doc_id").alias("first"), *([F.min(own).alias("own"), F.first("keys").alias("keys")] if groups else [])]
     nodes = scratch.store(prints.groupBy("fp").agg(*lowest), "nodes")
     stars = None
     if groups:
-        # Equal sets have equal keys; each distinct (key, fp) is one row.
-        keyed = scratch.store(prints.select("fp", F.explode("keys").alias("key")).distinct().select("key", "fp"), "keyed")
-        stored = keyed
+        # Equal sets have equal keys, and one set's keys differ; each distinct (key, fp) is one row.
+        keyed = nodes.select(F.explode("keys").alias("key"), "fp")
         find = lambda asked: _with_sets(asked.join(nodes.select("fp", "own"), "fp"), docs, words, scratch)
         keyed, stars = _divide_hot(keyed, find, similarity, miss, scratch)
     else:
@@ -571,7 +587,6 @@ def _classified(
     if groups:
         edges = edges if stars is None else edges.unionByName(stars)
         clusters = scratch.store(components(edges, scratch), "clusters")
-        scratch.drop(stored)
         edges = _verified(clusters, docs, nodes, words, radius, similarity, bits, scratch)
     labels = scratch.store(components(edges, scratch).join(nodes.selectExpr("fp AS node", "first"), "node"), "labels")
     firsts = scratch.store(labels.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
@@ -628,11 +643,14 @@ def dedup_stage(
     gone = scratch.store(gone, "gone")
     again = rows.groupBy("doc_id", "text_key").count().where("count > 1").selectExpr("doc_id AS gone_id", "text_key AS gone_key")
     again = scratch.store(again, "repeated")
-    key = F.xxhash64(docs["text"])
-    at = lambda other: (docs["doc_id"] == other["gone_id"]) & (key == other["gone_key"])
-    kept = docs.join(gone, at(gone), "left_anti")
+    # Texts whose row is no other's copy don't pass the sieve, and aren't shuffled.
+    touched = gone.unionByName(again).select(F.col("gone_id").alias("id"), F.col("gone_key").alias("text_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    marked, passes = _through(rows.select(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_key"), "row"), _sieve(touched))
+    at = lambda other: (F.col("id") == other["gone_id"]) & (F.col("text_key") == other["gone_key"])
+    asked = marked.where(passes).select("id", "text_key", "row").join(gone, at(gone), "left_anti")
+    kept = marked.where(~passes).select("row.*")
     if again.isEmpty():
-        return kept
-    once = docs.join(gone, at(gone), "left_anti").join(again, at(again), "left_semi")
-    once = once.groupBy(docs["doc_id"], key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return kept.join(again, at(again), "left_anti").unionByName(once.select("row.*"))
+        return kept.unionByName(asked.select("row.*"))
+    once = asked.join(again, at(again), "left_semi").groupBy("id", "text_key").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row"))
+    return kept.unionByName(asked.join(again, at(again), "left_anti").select("row.*")).unionByName(once.select("row.*"))

@@ -229,6 +229,24 @@ def test_dedup_by_rows(spark):
         assert kept == want
 
 
+def test_dedup_leaves_single_texts_in_place(spark):
+    """Only rows that may go are shuffled with their text, also where the rows that go are too many to broadcast."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 1000))) for _ in range(200)]
+    rows = [*enumerate(texts), *((1000 + i, texts[i]) for i in range(4)), (None, texts[0])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = simhash.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([*enumerate(texts), (None, texts[0])], key=str)
+        plan = kept._jdf.queryExecution().executedPlan().executedPlan()
+        leaves = (plan.plan() if plan.nodeName() == "ResultQueryStage" else plan).collectLeaves()
+        stages = [x for x in (leaves.apply(i) for i in range(leaves.size())) if x.nodeName() == "ShuffleQueryStage"]
+        assert stages and sum(x.getRuntimeStatistics().sizeInBytes() for x in stages) < sum(map(len, texts)) / 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_radius_misses_few():
     """Sets of one Jaccard similarity lie within the radius but for a small chance, small sets too."""
     rng = np.random.default_rng(4)
