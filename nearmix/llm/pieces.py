@@ -600,6 +600,12 @@ def sample_batch(lattices: Lattices, numbers: list[np.ndarray], keys: list[int],
     return out
 
 
+def _lists(values: pa.Array, parts: list) -> pa.ListArray:
+    """Values as lists as long as the parts."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 def encode(
     docs: DataFrame,
     path: str | None = None,
@@ -652,10 +658,11 @@ def encode(
             ]
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=False)]
             if with_ids:
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in whole]))).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole) if whole else np.empty(0, np.int32))))
+                arrays.append(_lists(pa.array(np.concatenate(whole) if whole else np.empty(0, np.int32)), whole))
             if with_sample_ids:
-                arrays.append(pa.array([[x.tolist() for x in p] for p in paths], pa.list_(pa.list_(pa.int32()))))
+                every = list(chain.from_iterable(paths))
+                ids = _lists(pa.array(np.concatenate(every) if every else np.empty(0, np.int32)), every)
+                arrays.append(_lists(ids, paths))
             return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
         return step
@@ -664,7 +671,8 @@ def encode(
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    """Every text's ids, and the ids, digests and inclusion scores of its sampled segmentations."""
+    return encode(table(spark, sf_dir, "documents"), with_ids=True, with_sample_ids=True)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -517,6 +517,22 @@ def test_stage_keeps_the_samples(spark):
             assert zlib.crc32(np.array(ids, np.int32).tobytes()) == crc and model.decode(ids) == model.decode(r["ids"])
 
 
+def test_query_returns_the_segmentations(spark):
+    """op9 returns the ids themselves, of the encoding and of the samples, not only their counts and digests."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").collect()}
+    made = registry.queries()["op9_sentencepiece"](spark, SMALL).collect()
+    assert len(made) == len(texts)
+    for r in made:
+        assert r["ids"] == model.encode(texts[r["doc_id"]]) and r["n_pieces"] == len(r["ids"])
+        assert zlib.crc32(np.array(r["ids"], np.int32).tobytes()) == r["ids_crc"]
+        assert [len(x) for x in r["sample_ids"]] == r["sample_pieces"]
+        assert [zlib.crc32(np.array(x, np.int32).tobytes()) for x in r["sample_ids"]] == r["sample_crcs"]
+        assert all(model.decode(x) == model.decode(r["ids"]) for x in r["sample_ids"])
+
+
 def test_tiny_weights_are_kept():
     sharp = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), alpha=1.0)
     numbers = sharp.numbers([sharp.normalised("ab")])
