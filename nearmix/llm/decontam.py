@@ -47,7 +47,10 @@ LEAST_STRETCH = 5
 RUN = 25
 #: Benchmark tokens whose seeds one broadcast holds: 3 seeds of 16 bytes each, so 50 MB.
 BLOCK_TOKENS = 1 << 20
+#: Cells of a comparison of an item with a text at many offsets, and seed hits, that are held at a time.
+CELLS = 1 << 20
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+_GAPS = {i: " " for i in range(128) if not chr(i).isalnum()}
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(16)], np.uint64)
 
 
@@ -59,7 +62,8 @@ class TokenHasher:
         self.entries = entries
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _TOKEN.findall((text or "").lower())
+        text = (text or "").lower()
+        words = text.translate(_GAPS).split() if text.isascii() else _TOKEN.findall(text)
         memo = self.memo
         if len(memo) > self.entries:
             memo.clear()
@@ -105,27 +109,33 @@ def stretches(equal: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def chain(parts: list[tuple[int, int, int, np.ndarray]], gap: int) -> tuple[int, int, int, int]:
-    """(matches, begin and end in the item, offset of its first part) of the chain with most matches.
+def chain(parts: list[tuple[int, int, int, np.ndarray]], gap: int, enough: float = np.inf) -> tuple[int, int, int, int]:
+    """(matches, begin and end in the item, offset of its first part) of the chain with most matches, or of the first with ``enough``.
 
     A part is (begin, end, offset, running sum of matches by place in the item).
     """
     parts = sorted(parts, key=lambda p: (p[0] + p[2], p[0], p[1]))
+    ends = np.array([p[1] for p in parts], np.int64)
+    past = ends + np.array([p[2] for p in parts], np.int64)
+    held = np.zeros(len(parts), np.int64)
     best: list[tuple[int, int, int, int]] = []
     reach = 0
     for i, (begin, end, offset, sums) in enumerate(parts):
         own = (int(sums[end] - sums[begin]), begin, end, offset)
-        while parts[reach][1] + parts[reach][2] + gap < begin + offset and reach < i:
+        while past[reach] + gap < begin + offset and reach < i:
             reach += 1
-        for j in range(reach, i):
-            _, end_j, offset_j, _ = parts[j]
-            if end_j >= end or end_j + offset_j >= end + offset or end_j + offset_j + gap < begin + offset:
-                continue
-            start = max(begin, end_j, end_j + offset_j - offset)
-            joined = best[j][0] + int(sums[end] - sums[start])
-            if joined > own[0]:
-                own = (joined, best[j][1], end, best[j][3])
+        if reach < i:
+            e, t = ends[reach:i], past[reach:i]
+            start = np.maximum(np.maximum(e, t - offset), begin)
+            fits = (start < end) & (t + gap >= begin + offset)
+            joined = np.where(fits, held[reach:i] + (sums[end] - sums[np.minimum(start, end)]), -1)
+            j = int(joined.argmax())
+            if joined[j] > own[0]:
+                own = (int(joined[j]), best[reach + j][1], end, best[reach + j][3])
+        held[i] = own[0]
         best.append(own)
+        if own[0] >= enough:
+            return own
     return max(best, key=lambda c: c[0])
 
 
@@ -152,44 +162,80 @@ class Block:
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
 
-    def leaks(self, tokens: np.ndarray, share: float) -> list[tuple[int, int, int, int, int, int]]:
-        """(item index, matches, begin and end in the item, token offset of the item in the text, length)."""
-        offsets: set[tuple[int, int]] = set()
+    def _offsets(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Items with a hit, and the sorted token offsets at which they are laid over the text."""
         low = np.uint64((1 << self.bits) - 1)
+        base = 1 << 32
+        codes = []
         for w, mask in self.masks.items():
             h = seeds(tokens, mask, w)
             at = np.nonzero(self.filter[(h & low).astype(np.int64)])[0]
             if not len(at):
                 continue
             first, last = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
-                for j in range(a, b):
-                    offsets.add((int(self.item[j]), p - int(self.place[j])))
-        parts: dict[int, list] = defaultdict(list)
-        found: dict[int, tuple] = {}
-        for k, offset in sorted(offsets):
+            past = np.cumsum(last - first)
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + CELLS, "right")))
+                count = last[i:j] - first[i:j]
+                hit = np.repeat(first[i:j] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                codes.append(np.unique(self.item[hit] * base + (np.repeat(at[i:j], count) - self.place[hit] + (base >> 1))))
+                i = j
+        every = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+        if not len(every):
+            return []
+        items, heads = np.unique(every // base, return_index=True)
+        return list(zip(items.tolist(), np.split(every % base - (base >> 1), heads[1:]), strict=True))
+
+    def _may_leak(self, item: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, share: float) -> bool:
+        """False if no chain can reach ``share`` of the item, since it counts a place of the item once, and no stretch RUN."""
+        ever, most = np.zeros(len(item), bool), 0
+        rows = max(1, CELLS // len(item))
+        for i in range(0, len(offsets), rows):
+            at = offsets[i : i + rows, None] + np.arange(len(item))
+            equal = (at >= 0) & (at < len(tokens)) & (tokens[np.clip(at, 0, len(tokens) - 1)] == item)
+            ever |= equal.any(0)
+            most = max(most, int(equal.sum(1).max()))
+            if most >= RUN or ever.sum() >= share * len(item):
+                return True
+        return False
+
+    def leaks(self, tokens: np.ndarray, share: float, one: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+        """(item index, matches, begin and end in the item, token offset of the item in the text, length).
+
+        With ``one`` the search ends with the first leak that is certain, whose chain need not be the best.
+        """
+        found = []
+        for k, offsets in self._offsets(tokens):
             item = self.tokens[k]
-            if len(item) < self.least:
-                if k not in found and np.array_equal(item, tokens[offset : offset + len(item)]):
-                    found[k] = (k, len(item), 0, len(item), offset, len(item))
-                continue
-            a, b = max(0, -offset), min(len(item), len(tokens) - offset)
-            equal = np.zeros(len(item), bool)
-            equal[a:b] = item[a:b] == tokens[a + offset : b + offset]
-            floor = min(LEAST_STRETCH, share * len(item))
-            good = [(x, y) for x, y, matches in stretches(equal) if matches >= floor]
-            if good:
-                sums = np.concatenate(([0], np.cumsum(equal)))
-                parts[k] += [(x, y, offset, sums) for x, y in good]
-        for k, some in parts.items():
-            n = len(self.tokens[k])
-            held = [int(sums[y] - sums[x]) for x, y, _, sums in some]
-            if sum(held) < share * n and max(held) < RUN:
-                continue
-            matches, begin, end, offset = chain(some, n)
-            if matches >= share * n or max(held) >= RUN:
-                found[k] = (k, matches, begin, end, offset, n)
-        return [found[k] for k in sorted(found)]
+            n = len(item)
+            if n < self.least:
+                leak = next((o for o in offsets.tolist() if np.array_equal(item, tokens[o : o + n])), None)
+                if leak is not None:
+                    found.append((k, n, 0, n, leak, n))
+            elif len(offsets) < 16 or self._may_leak(item, tokens, offsets, share):
+                floor, enough = min(LEAST_STRETCH, share * n), min(share * n, RUN)
+                some, held, most = [], 0, 0
+                for offset in offsets.tolist():
+                    a, b = max(0, -offset), min(n, len(tokens) - offset)
+                    equal = np.zeros(n, bool)
+                    equal[a:b] = item[a:b] == tokens[a + offset : b + offset]
+                    good = [s for s in stretches(equal) if s[2] >= floor]
+                    if good:
+                        sums = np.concatenate(([0], np.cumsum(equal, dtype=np.int32)))
+                        some += [(x, y, offset, sums) for x, y, _ in good]
+                        own = [int(sums[y] - sums[x]) for x, y, _ in good]
+                        held, most = held + sum(own), max(most, *own)
+                        if one and most >= enough:
+                            return [(k, most, 0, n, offset, n)]
+                if not some or (held < share * n and most < RUN):
+                    continue
+                matches, begin, end, offset = chain(some, n, share * n if one else np.inf)
+                if matches >= share * n or most >= RUN:
+                    found.append((k, matches, begin, end, offset, n))
+            if one and found:
+                return found
+        return found
 
 
 def blocks(benchmark: DataFrame, least: int, block_tokens: int = BLOCK_TOKENS):
@@ -259,7 +305,7 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, share: flo
             here, hasher = sent.value, TokenHasher()
 
             def step(batch: pa.RecordBatch):
-                clean = [not here.leaks(hasher(t), share) for t in batch.column(at).to_pylist()]
+                clean = [not here.leaks(hasher(t), share, one=True) for t in batch.column(at).to_pylist()]
                 return batch.filter(pa.array(clean, pa.bool_()))
 
             return step

@@ -313,6 +313,31 @@ def test_decontamination_of_broken_copies(spark):
     assert places[0] == (0, 59, 40) and places[4] == (0, 28, 40) and places[7] == (300, 1200, 40) and places[8] == (0, 3, 40)
 
 
+def test_decontamination_of_repetitive_texts(monkeypatch):
+    """Texts that repeat a word hit an item at every place; such offsets cost little unless the item can leak."""
+    calls = []
+    plain = decontam.stretches
+    monkeypatch.setattr(decontam, "stretches", lambda equal: calls.append(1) or plain(equal))
+    hasher = decontam.TokenHasher()
+    text = hasher("a " * 5000)
+    block = decontam.Block([(1, "a a a a a a " + " ".join(f"x{i}" for i in range(53)))], 8)
+    assert block.leaks(text, 0.5) == [] and len(calls) < 100
+    calls.clear()
+    block = decontam.Block([(1, "a " * 59)], 8)
+    assert block.leaks(text, 0.5, one=True) and len(calls) < 100
+    # the first certain leak is found where the best one is
+    rng = np.random.default_rng(2)
+    some = 0
+    for n in range(2, 5):
+        block = decontam.Block([(i, " ".join(rng.choice(list("abcd")[:n], 5 + 12 * i))) for i in range(4)], 8)
+        for more in (0, 2, 4) * 10:
+            tokens = hasher(" ".join(rng.choice(list("abcdefgh")[: n + more], 40)))
+            every = block.leaks(tokens, 0.5)
+            some += bool(every)
+            assert bool(block.leaks(tokens, 0.5, one=True)) == bool(every)
+    assert 10 < some < 80
+
+
 def test_decontamination_in_blocks(spark):
     docs, items = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
     told = lambda df: sorted(map(tuple, df.collect()), key=str)
