@@ -46,6 +46,8 @@ SAMPLES = 2
 MEMO_EDGES = 1_200_000
 #: Bytes of text that are worked on at a time (a longer text alone).
 BATCH_BYTES = 256 << 10
+#: Characters of new units whose lattices are made at a time (a longer unit alone).
+ADD_CHARS = 1 << 16
 _BLANK = "▁"
 _U = np.uint64
 
@@ -222,7 +224,12 @@ class Lattices:
         new[inside] = self.known[at[inside]] != kinds[inside]
         if new.any():
             base = self.n_units
-            self._add([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            a, b = starts[first[new]], ends[first[new]]
+            part, long = np.cumsum(b - a) // ADD_CHARS, b - a > ADD_CHARS
+            cuts = [0, *(np.nonzero((np.diff(part) > 0) | long[1:] | long[:-1])[0] + 1).tolist(), len(a)]
+            pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                self._add([text[i:j] for i, j in pairs[x:y]])
             spots = at[new]
             self.known = np.insert(self.known, spots, kinds[new])
             self.unit_of = np.insert(self.unit_of, spots, np.arange(base, self.n_units, dtype=np.int32))

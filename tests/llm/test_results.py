@@ -5,19 +5,23 @@ from __future__ import annotations
 import gzip
 import itertools
 import math
+import os
+import platform
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from nearmix.llm import decontam, langid, licenses, pieces, registry, secrets, simhash, tokencount, toxicity, warc
-from nearmix.llm.common import Scratch, table
+from nearmix.llm.common import Scratch, map_texts, table
 from nearmix.llm.components import components
 
 SMALL, MIDDLE, LARGE = (f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1"))
@@ -512,6 +516,43 @@ def test_memory_does_not_show(spark):
         want = told
 
 
+def test_new_units_are_added_in_parts():
+    """However many new units a batch holds, the arrays made for them at once have a bound; only a longer unit stands alone."""
+    own, sizes = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model")), []
+    letters = str.maketrans("0123456789", "oilremsatn")
+    text = " ".join(xxhash.xxh64_hexdigest(str(i)).translate(letters) for i in range(12_000)) + " " + "a" * 100_000
+    add = own._add
+    own._add = lambda units: (sizes.append((sum(map(len, units)), len(units))), add(units))
+    (numbers,) = own.numbers([own.normalised(text)])
+    assert len(sizes) > 3 and all(n <= 1 << 17 or units == 1 for n, units in sizes)
+    assert own.encoded([numbers])[0].tolist() == own.model.encode(text)
+
+
+def test_tasks_give_their_memory_back():
+    """A worker that waits for its next task doesn't hold what the last one took, even below memory still in use."""
+    if platform.libc_ver()[0] != "glibc":
+        pytest.skip("needs malloc_trim")
+    pins, made = [], {}
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            made["run"] = run
+
+    def make():
+        held = [np.ones(8 << 10) for _ in range(6_000)]  # 64 KB each: from the heap, not from maps of their own
+        pins.extend(held[::50])
+        return lambda batch: batch if held else None
+
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+    map_texts(Frame(), ["x"], "x long", make)
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["x"])]
+    during = [resident() for _ in made["run"](iter(batches))]
+    assert during[0] - resident() > 300
+
+
 def test_encoding(spark):
     import sentencepiece
 
