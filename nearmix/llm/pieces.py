@@ -30,7 +30,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +43,11 @@ from nearmix.llm.common import map_texts, table
 ALPHA = 1e-3
 SAMPLES = 2
 #: Edges a task remembers; 24 bytes each. Above this the units met least are forgotten.
-MEMO_EDGES = 1_200_000
+MEMO_EDGES = 1_600_000
 #: Bytes of text that are worked on at a time (a longer text alone).
 BATCH_BYTES = 256 << 10
 #: Characters of new units whose lattices are made at a time (a longer unit alone).
-ADD_CHARS = 1 << 16
+ADD_CHARS = 1 << 15
 _BLANK = "▁"
 _U = np.uint64
 
@@ -122,9 +122,11 @@ class Lattices:
             self.weight[i] = w
         self.longest = max(map(len, self.pieces), default=1)
         self.bridges = np.zeros(1 << 22, bool)
-        for piece in self.pieces:
-            codes = _codes(piece)
-            self.bridges[_bridge_slots(codes[:-1], codes[1:])] = True
+        codes = _codes("".join(self.pieces))
+        inner = np.ones(len(codes), bool)
+        inner[np.cumsum(np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))) - 1] = False
+        inner = np.nonzero(inner)[0]
+        self.bridges[_bridge_slots(codes[inner], codes[inner + 1])] = True
         self.fence = self._fence()
         self.spelt: list[tuple[int, ...]] = []
         self.spelt_at: dict[str, int] = {}
@@ -159,11 +161,16 @@ class Lattices:
             h = np.zeros(len(group), _U)
             for i in range(n):
                 h = _hashed(h, codes[:, i])
-            for p, x in zip(group, h.tolist(), strict=True):
-                at = x >> int(self.shift)
-                while self.slots[at]:
-                    at = (at + 1) % len(self.slots)
-                self.slots[at], self.values[at] = x, known[p]
+            value = np.fromiter(map(known.__getitem__, group), np.int32, len(group))
+            at = (h >> self.shift).astype(np.int64)
+            while len(at):
+                # Of those that ask for a free slot one takes it; the others go on.
+                spots, taker = np.unique(at, return_index=True)
+                taker = taker[self.slots[spots] == 0]
+                self.slots[at[taker]], self.values[at[taker]] = h[taker], value[taker]
+                on = np.ones(len(at), bool)
+                on[taker] = False
+                at, h, value = (at[on] + 1) % len(self.slots), h[on], value[on]
 
     def _look_up(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash, -1 for prefixes of pieces only, -2 for others."""
@@ -276,39 +283,38 @@ class Lattices:
         self.known, self.unit_of = self.known[there], number[self.unit_of[there]]
         self.n_units, self.n_nodes, self.n_edges, self.n_ids = len(keep), len(at_nodes), len(at_edges), len(at_ids)
 
-    def _encoded_units(self, units: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of each unit, and whether decoding them gives the unit back.
+    def _encoded_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, their number for each, and whether decoding them gives the unit back.
 
         Units are encoded behind a fence each, all in one line: no piece reaches over a fence.
         """
         fence, front, own = self.fence
         line = (fence + fence.join(units)).replace(_BLANK, " ")
-        flat = self.model.encode(line)
-        marks = np.nonzero(np.array(flat, np.int32) == own)[0] if own is not None else ()
+        flat = self.model.encode(line, return_type="numpy").astype(np.int32, copy=False)
+        marks = np.nonzero(flat == own)[0] if own is not None else ()
+        # The fence may be a unit of its own or stand in one: then there are more marks.
         if len(marks) == len(units) and self.model.decode(flat) == line:
-            ends = [*marks[1:].tolist(), len(flat)]
-            return [flat[a + 1 : b] for a, b in zip(marks.tolist(), ends, strict=True)], np.ones(len(units), bool)
+            counts = np.diff(marks, append=len(flat)) - 1
+            return flat[_ranges(marks + 1, counts)], counts, np.ones(len(units), bool)
         lines = [(fence + u).replace(_BLANK, " ") for u in units]
         ids = self.model.encode(lines, num_threads=1)
         same = np.array([d == x for d, x in zip(self.model.decode(ids, num_threads=1), lines, strict=True)], bool)
-        return [x[front:] for x in ids], same
+        counts = np.fromiter((len(x) - front for x in ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(x[front:] for x in ids), np.int32, int(counts.sum())), counts, same
 
     def _add(self, units: list[str]) -> None:
         base = self.n_units
         self.n_units += len(units)
-        # The fence may be a unit of its own; it is encoded apart, so that it doesn't count as a mark.
-        odd = [i for i, u in enumerate(units) if self.fence[0] in u]
-        ids, same = self._encoded_units([u for u in units if self.fence[0] not in u] if odd else units)
-        for i in odd:
-            (own,), (ok,) = self._encoded_units([units[i]])
-            ids.insert(i, own)
-            same = np.insert(same, i, ok)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total_ids = int(counts.sum())
-        self._append("ids", self.n_ids, np.fromiter(chain.from_iterable(ids), np.int32, total_ids))
+        # Units with the fence are encoded apart, so that it doesn't count as a mark.
+        if any(self.fence[0] in u for u in units):
+            parts = [self._encoded_units(list(group)) for _, group in groupby(units, key=lambda u: self.fence[0] in u)]
+            ids, counts, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+        else:
+            ids, counts, same = self._encoded_units(units)
+        self._append("ids", self.n_ids, ids)
         self._append("ids_from", base, self.n_ids + np.cumsum(counts) - counts)
         self._append("ids_count", base, counts)
-        self.n_ids += total_ids
+        self.n_ids += len(ids)
         self._append("same", base, same)
         self._append("hits", base, np.zeros(len(units), np.int64))
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -317,43 +323,45 @@ class Lattices:
         nodes = int(ends_at[-1])
         # Pieces at all places of all units at once, grown by a character a round.
         codes = _codes("".join(units))
-        unit_of = np.repeat(np.arange(len(units)), lengths)
-        left = ends_at[unit_of] - np.arange(nodes)
+        left = np.repeat(ends_at, lengths) - np.arange(nodes)
         place, h = np.arange(nodes), np.zeros(nodes, _U)
-        found: list[tuple[np.ndarray, int, np.ndarray]] = []
-        n = 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        count = np.zeros(nodes, np.int64)
+        alone = None
         while len(place):
+            n = len(found)
             h = _hashed(h, codes[place + n])
-            n += 1
             value = self._look_up(h)
             hit = value >= 0
-            found.append((place[hit], n, value[hit]))
-            on = (value >= -1) & (left[place] > n)
+            at = place[hit]
+            found.append((at, value[hit]))
+            count[at] += 1
+            if alone is None:
+                alone = np.nonzero(~hit)[0]
+            on = (value >= -1) & (left[place] > n + 1)
             place, h = place[on], h[on]
-        begin = np.concatenate([f[0] for f in found])
-        size = np.repeat([f[1] for f in found], [len(f[0]) for f in found])
-        what = np.concatenate([f[2] for f in found]).astype(np.int64)
-        score = self.weight[what]
-        alone = np.ones(nodes, bool)
-        alone[begin[size == 1]] = False
-        alone = np.nonzero(alone)[0]
-        if len(alone):
-            text = "".join(units)
-            begin, size = np.concatenate((begin, alone)), np.concatenate((size, np.ones(len(alone), np.int64)))
-            what = np.concatenate((what, [-1 - self._spell(text[i]) for i in alone.tolist()]))
-            score = np.concatenate((score, np.full(len(alone), self.floor * self.alpha)))
+        count[alone] += 1
         # Edges by node, the longest first: it is drawn most often.
-        order = np.argsort(begin * (self.longest + 1) - size, kind="stable")
-        begin, size, what, w = begin[order], size[order], what[order], score[order]
-        edges = len(begin)
-        count = np.bincount(begin, minlength=nodes)
         first = np.concatenate(([0], np.cumsum(count)))
-        owner, to_ = begin, begin + size
-        ends = ends_at[unit_of]
-        final = to_ == ends[owner]
+        edges = int(first[-1])
+        size, what = np.ones(edges, np.int64), np.empty(edges, np.int64)
+        free = first[:-1].copy()
+        for n in range(len(found), 0, -1):
+            at, value = found[n - 1]
+            spot = free[at]
+            size[spot], what[spot] = n, value
+            free[at] += 1
+        spot, text = free[alone], "".join(units) if len(alone) else ""
+        what[spot] = 0
+        w = self.weight[what]
+        w[spot] = self.floor * self.alpha
+        what[spot] = [-1 - self._spell(text[i]) for i in alone.tolist()]
+        owner = np.repeat(np.arange(nodes), count)
+        to_ = owner + size
+        final = size == left[owner]
         # Backward sums, all nodes of one distance to their unit's end at a time: nodes and edges are
         # put in that order, so that a round is a slice.
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if int(left.max()) < 1 << 16 else left, kind="stable")
         rank = np.empty(nodes + 1, np.int64)
         rank[order] = np.arange(nodes)
         rank[nodes] = nodes
@@ -378,16 +386,18 @@ class Lattices:
         logq = total - beta[owner]
         q = np.exp(logq)
         # For the heaviest edge the rest is summed, since 1 - q would round it off; in logarithms, as it may be tiny.
-        heavy = np.zeros(edges, bool)
         most = np.maximum.reduceat(q, first[:-1])
         peak = np.nonzero(q == most[owner])[0]
-        heavy[peak[np.unique(owner[peak], return_index=True)[1]]] = True
-        light = np.where(heavy, -np.inf, logq)
+        of = owner[peak]
+        heavy = peak[np.diff(of, prepend=-1) > 0]
+        light = logq.copy()
+        light[heavy] = -np.inf
         top = np.maximum.reduceat(light, first[:-1])
         top[top == -np.inf] = 0.0  # an only edge
         others = np.add.reduceat(np.exp(light - top[owner]), first[:-1])
         with np.errstate(divide="ignore"):
-            rest = np.where(heavy, (top + np.log(others))[owner], np.log(np.maximum(1 - q, 0.0)))
+            rest = np.log(np.maximum(1 - q, 0.0))
+            rest[heavy] = top + np.log(others)
         # Sums along a node's edges, edge by edge: they don't depend on the other units of a call.
         upto, at, place = q.copy(), np.nonzero(count > 1)[0], 1
         while len(at):

@@ -528,6 +528,21 @@ def test_new_units_are_added_in_parts():
     assert own.encoded([numbers])[0].tolist() == own.model.encode(text)
 
 
+def test_units_met_again_are_not_made_again():
+    """Some 1.4 million edges are remembered; ids are the library's, also where the fence stands among them."""
+    own, letters = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model")), str.maketrans("0123456789", "oilremsatn")
+    texts = ["\n".join(xxhash.xxh64_hexdigest(str(i)).translate(letters) for i in range(n * 1_000, n * 1_000 + 1_000)) for n in range(40)]
+    whole = [own.normalised(t) for t in texts]
+    for t in whole:
+        own.numbers([t])
+    assert 1_300_000 < own.n_edges < 1_600_000
+    add, made = own._add, []
+    own._add = lambda units: (made.extend(units), add(units))
+    numbers = own.numbers(whole)
+    assert not made
+    assert [x.tolist() for x in own.encoded(numbers)] == own.model.encode(texts)
+
+
 def test_tasks_give_their_memory_back():
     """A worker that waits for its next task doesn't hold what the last one took, even below memory still in use."""
     if platform.libc_ver()[0] != "glibc":
