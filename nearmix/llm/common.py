@@ -100,6 +100,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and return free heap to the system.
+
+    A heap keeps the size that the largest need so far gave it, beside which Python workers need
+    room. One short task a core; an executor that gets none keeps its heap.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],

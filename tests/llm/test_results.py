@@ -568,6 +568,21 @@ def test_tasks_give_their_memory_back():
     assert during[0] - resident() > 300
 
 
+def test_stages_begin_on_emptied_heaps(spark):
+    """What a stage left in the heap is returned to the system before the next one needs room for Python."""
+    import corpus_pipeline
+
+    heap = lambda: spark._jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+    gateway = spark.sparkContext._gateway
+    held = [gateway.new_array(gateway.jvm.long, 8 << 20) for _ in range(16)]
+    during = heap()
+    while held:
+        gateway.detach(held.pop())
+    corpus_pipeline.STAGES[-1][1](spark, table(spark, SMALL, "documents"), SMALL)
+    assert during - heap() > 300
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
 def test_encoding(spark):
     import sentencepiece
 
