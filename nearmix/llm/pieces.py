@@ -95,7 +95,8 @@ class Lattices:
     """Units met so far: their pieces, and the nodes and edges of their lattices in flat arrays."""
 
     #: name -> dtype of what is kept per edge, per node, per unit and per id.
-    EDGE = {"upto": np.float32, "logq": np.float64, "rest": np.float32, "next": np.int32, "piece": np.int32}
+    #: hop: upto as a float32 and the first edge of the node that the edge leads to (-1: the unit's end) as an int32, read together.
+    EDGE = {"hop": np.uint64, "logq": np.float64, "rest": np.float32, "piece": np.int32}
     UNIT = {"start": np.int64, "ids_from": np.int64, "ids_count": np.int32, "hits": np.int64, "same": bool}
 
     def __init__(self, path: str, alpha: float = ALPHA, memo_edges: int = MEMO_EDGES):
@@ -189,6 +190,22 @@ class Lattices:
         for name, kind in (*self.EDGE.items(), *self.UNIT.items(), ("first", np.int32), ("ids", np.int32)):
             setattr(self, name, np.zeros(1 << 12, kind))
 
+    @property
+    def upto(self) -> np.ndarray:
+        """Sums of chances up to each edge of its node; 2 for a node's last edge."""
+        return self.hop.view(np.float32)[::2]
+
+    @property
+    def goto(self) -> np.ndarray:
+        """First edges of the nodes that edges lead to, -1 at a unit's end."""
+        return self.hop.view(np.int32)[1::2]
+
+    @property
+    def next(self) -> np.ndarray:
+        """Nodes that edges lead to, -1 at a unit's end."""
+        goto = self.goto[: self.n_edges]
+        return np.where(goto < 0, -1, np.searchsorted(self.first[: self.n_nodes], goto))
+
     def _append(self, name: str, at: int, values: np.ndarray) -> None:
         """Set values from ``at`` on, growing the array where it is too short."""
         a = getattr(self, name)
@@ -198,6 +215,11 @@ class Lattices:
             setattr(self, name, a := b)
         a[at : at + len(values)] = values
 
+    def _pick(self, name: str, at: np.ndarray) -> None:
+        """Keep the values at these places, in this order; the array keeps its room."""
+        a = getattr(self, name)
+        a[: len(at)] = a[at]
+
     def _spell(self, char: str) -> int:
         """Number of a character that is spelt by the pieces of its bytes."""
         if char not in self.spelt_at:
@@ -224,7 +246,13 @@ class Lattices:
         starts = np.nonzero(begins)[0]
         ends = np.append(starts[1:], len(codes))
         hashes = self._unit_hashes(codes, starts, ends)
-        kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        # Like np.unique, but any of a kind's places will do, so that the sort needn't be stable.
+        order = np.argsort(hashes)
+        kinds = hashes[order]
+        other = np.concatenate(([True], kinds[1:] != kinds[:-1]))
+        kinds, first = kinds[other], order[other]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(other) - 1
         at = np.searchsorted(self.known, kinds)
         new = np.ones(len(kinds), bool)
         inside = at < len(self.known)
@@ -234,9 +262,9 @@ class Lattices:
             a, b = starts[first[new]], ends[first[new]]
             part, long = np.cumsum(b - a) // ADD_CHARS, b - a > ADD_CHARS
             cuts = [0, *(np.nonzero((np.diff(part) > 0) | long[1:] | long[:-1])[0] + 1).tolist(), len(a)]
-            pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+            a, b = a.tolist(), b.tolist()
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                self._add([text[i:j] for i, j in pairs[x:y]])
+                self._add([text[i:j] for i, j in zip(a[x:y], b[x:y], strict=True)])
             spots = at[new]
             self.known = np.insert(self.known, spots, kinds[new])
             self.unit_of = np.insert(self.unit_of, spots, np.arange(base, self.n_units, dtype=np.int32))
@@ -257,25 +285,25 @@ class Lattices:
         return np.add.reduceat(x, starts)
 
     def _keep_hot(self) -> None:
-        """Forget all but the units met most often, down to half of what may be kept."""
+        """Forget all but the units met most often, down to half of what may be kept.
+
+        Those met most come first, so that what is read most often lies close together.
+        """
         n = self.n_units
         node_from = np.append(self.start[:n], self.n_nodes)
         edge_from = np.append(self.first[self.start[:n]].astype(np.int64), self.n_edges)
         nodes, edges = np.diff(node_from), np.diff(edge_from)
         order = np.argsort(-self.hits[:n], kind="stable")
-        keep = np.sort(order[np.cumsum(edges[order]) <= self.memo_edges // 2])
+        keep = order[np.cumsum(edges[order]) <= self.memo_edges // 2]
         nodes, edges, ids = nodes[keep], edges[keep], self.ids_count[keep].astype(np.int64)
         at_nodes, at_edges, at_ids = (_ranges(f, c) for f, c in ((node_from[keep], nodes), (edge_from[keep], edges), (self.ids_from[keep], ids)))
-        moved_nodes = np.cumsum(nodes) - nodes - node_from[keep]
         moved_edges = np.cumsum(edges) - edges - edge_from[keep]
-        self.first = (self.first[at_nodes] + np.repeat(moved_edges, nodes)).astype(np.int32)
-        for name in self.EDGE:
-            setattr(self, name, getattr(self, name)[at_edges])
-        self.next = np.where(self.next < 0, -1, self.next + np.repeat(moved_nodes, edges)).astype(np.int32)
-        self.ids = self.ids[at_ids]
-        for name in self.UNIT:
-            setattr(self, name, getattr(self, name)[keep])
-        self.start, self.ids_from = np.cumsum(nodes) - nodes, np.cumsum(ids) - ids
+        for name, at in (("first", at_nodes), ("ids", at_ids), *((x, at_edges) for x in self.EDGE), *((x, keep) for x in self.UNIT)):
+            self._pick(name, at)
+        self.first[: len(at_nodes)] += np.repeat(moved_edges, nodes).astype(np.int32)
+        goto = self.goto[: len(at_edges)]
+        goto += np.where(goto < 0, 0, np.repeat(moved_edges, edges)).astype(np.int32)
+        self.start[: len(keep)], self.ids_from[: len(keep)] = np.cumsum(nodes) - nodes, np.cumsum(ids) - ids
         self.hits //= 2
         number = np.full(n, -1, np.int32)
         number[keep] = np.arange(len(keep), dtype=np.int32)
@@ -305,8 +333,9 @@ class Lattices:
     def _add(self, units: list[str]) -> None:
         base = self.n_units
         self.n_units += len(units)
+        text = "".join(units)
         # Units with the fence are encoded apart, so that it doesn't count as a mark.
-        if any(self.fence[0] in u for u in units):
+        if self.fence[0] in text:
             parts = [self._encoded_units(list(group)) for _, group in groupby(units, key=lambda u: self.fence[0] in u)]
             ids, counts, same = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
@@ -322,7 +351,7 @@ class Lattices:
         starts = np.concatenate(([0], ends_at))
         nodes = int(ends_at[-1])
         # Pieces at all places of all units at once, grown by a character a round.
-        codes = _codes("".join(units))
+        codes = _codes(text)
         left = np.repeat(ends_at, lengths) - np.arange(nodes)
         place, h = np.arange(nodes), np.zeros(nodes, _U)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -351,7 +380,7 @@ class Lattices:
             spot = free[at]
             size[spot], what[spot] = n, value
             free[at] += 1
-        spot, text = free[alone], "".join(units) if len(alone) else ""
+        spot = free[alone]
         what[spot] = 0
         w = self.weight[what]
         w[spot] = self.floor * self.alpha
@@ -385,19 +414,25 @@ class Lattices:
         beta = value[rank[:nodes]]
         logq = total - beta[owner]
         q = np.exp(logq)
-        # For the heaviest edge the rest is summed, since 1 - q would round it off; in logarithms, as it may be tiny.
+        # For the heaviest edge the rest is summed, since 1 - q would round it off; in logarithms where it is tiny.
         most = np.maximum.reduceat(q, first[:-1])
         peak = np.nonzero(q == most[owner])[0]
         of = owner[peak]
         heavy = peak[np.diff(of, prepend=-1) > 0]
-        light = logq.copy()
-        light[heavy] = -np.inf
-        top = np.maximum.reduceat(light, first[:-1])
-        top[top == -np.inf] = 0.0  # an only edge
-        others = np.add.reduceat(np.exp(light - top[owner]), first[:-1])
+        light = q.copy()
+        light[heavy] = 0.0
+        others = np.add.reduceat(light, first[:-1])
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(1 - q, 0.0))
-            rest[heavy] = top + np.log(others)
+            rest[heavy] = np.log(others)
+        tiny = np.nonzero((others < 1e-200) & (count > 1))[0]
+        if len(tiny):
+            held = count[tiny]
+            heads = np.cumsum(held) - held
+            light = logq[_ranges(first[tiny], held)]
+            light[heads + heavy[tiny] - first[tiny]] = -np.inf
+            top = np.maximum.reduceat(light, heads)
+            rest[heavy[tiny]] = top + np.log(np.add.reduceat(np.exp(light - np.repeat(top, held)), heads))
         # Sums along a node's edges, edge by edge: they don't depend on the other units of a call.
         upto, at, place = q.copy(), np.nonzero(count > 1)[0], 1
         while len(at):
@@ -409,48 +444,55 @@ class Lattices:
         a, b = self.n_nodes, self.n_edges
         self._append("first", a, first[:-1] + b)
         self._append("start", base, starts[:-1] + a)
-        for name, values in (("upto", upto), ("logq", np.minimum(logq, 0.0)), ("rest", rest), ("next", np.where(final, -1, to_ + a)), ("piece", what)):
+        hop = np.empty(edges, _U)
+        hop.view(np.float32)[::2], hop.view(np.int32)[1::2] = upto, np.where(final, -1, first[to_] + b)
+        for name, values in (("hop", hop), ("logq", np.minimum(logq, 0.0)), ("rest", rest), ("piece", what)):
             self._append(name, b, values)
         self.n_nodes, self.n_edges = a + nodes, b + edges
 
     def node_edges(self, edge: int) -> range:
         """All edges of the node that an edge leaves."""
-        low = int(np.searchsorted(self.first[: self.n_nodes], np.int32(edge), "right")) - 1
-        high = int(self.first[low + 1]) if low + 1 < self.n_nodes else self.n_edges
-        return range(int(self.first[low]), high)
-
-    def walk(self, nodes: np.ndarray, seeds: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        """Draw each unit's edges from its node to its end.
-
-        nodes: start nodes, -1 for units already at their end. Returns the edges in order and each
-        unit's number of edges. Numbers depend on the unit's seed, its step and the salt alone.
+        upto, low, past = self.upto, edge, edge + 1
+        while low and upto[low - 1] < 2.0:
+            low -= 1
+        while upto[past - 1] < 2.0:
+            past += 1
+        return range(low, past)
+
+    def walk(self, begin: np.ndarray, seeds: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Draw each unit's edges from a node to its end.
+
+        begin: the nodes' first edges, -1 for units already at their end. Returns the edges in order
+        and each unit's number of edges. Numbers depend on the unit's seed, its step and the salt alone.
         """
         rounds: list[tuple[np.ndarray, np.ndarray]] = []
-        at = np.nonzero(nodes >= 0)[0]
-        now = nodes[at]
+        at = np.nonzero(begin >= 0)[0]
+        e = begin[at].astype(np.int64)
         mine = seeds[at]
         step = 0
         while len(at):
-            e = self.first[now]
-            draw = np.nonzero(self.upto[e] < 2.0)[0]  # others have one edge
+            hop = self.hop[e]
+            upto = hop.view(np.float32)[::2]
+            draw = np.nonzero(upto < 2.0)[0]  # others have one edge
             if len(draw):
                 u = uniforms(mine[draw], (salt << 40) + step)
-                some = e[draw]
-                more = np.nonzero(self.upto[some] < u)[0]
-                while len(more):
-                    some[more] += 1
-                    more = more[self.upto[some[more]] < u[more]]
-                e[draw] = some
+                over = np.nonzero(upto[draw] < u)[0]
+                while len(over):
+                    draw, u = draw[over], u[over]
+                    e[draw] += 1
+                    hop[draw] = now = self.hop[e[draw]]
+                    over = np.nonzero(now.view(np.float32)[::2] < u)[0]
             rounds.append((at, e))
-            now = self.next[e]
-            go = now >= 0
-            if not go.all():
-                at, now, mine = at[go], now[go], mine[go]
+            e = hop.view(np.int32)[1::2]
+            go = np.nonzero(e >= 0)[0]
+            if len(go) < len(e):
+                at, e, mine = at[go], e[go], mine[go]
+            e = e.astype(np.int64)
             step += 1
-        counts = np.zeros(len(nodes), np.int64)
+        counts = np.zeros(len(begin), np.int64)
         for at, _ in rounds:
             counts[at] += 1
-        heads = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(nodes) else counts
+        heads = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(begin) else counts
         edges = np.empty(int(counts.sum()), np.int32)
         for step, (at, e) in enumerate(rounds):
             edges[heads[at] + step] = e
@@ -497,12 +539,14 @@ class _Search:
         self.lattices, self.seed = lattices, seed
         self.heap: list[tuple] = []
         self.edges: list[np.ndarray] = []
+        self.logs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.weights: list[float] = []
 
-    def take(self, edges: np.ndarray, counts: np.ndarray, weight: float) -> int:
-        """Record a path."""
+    def take(self, edges: np.ndarray, logs: np.ndarray, counts: np.ndarray, weight: float) -> int:
+        """Record a path; logs: its edges' log-weights."""
         self.edges.append(edges)
+        self.logs.append(logs)
         self.counts.append(counts)
         self.weights.append(weight)
         return len(self.edges) - 1
@@ -533,15 +577,15 @@ def file_sets(lattices: Lattices, made: list[tuple[_Search, int, float, int, fro
         rows, lengths = len(todo), np.array([len(s.edges[p]) - since for s, p, _, since, _ in todo])
         width = min(size, int(lengths.max()))
         edges = np.zeros((rows, width), np.int64)
-        shared = np.zeros((rows, width + 1))
+        shared = np.zeros((rows, width + 1))  # past a path's end: 0
         for r, (s, p, _, since, _) in enumerate(todo):
             part = s.edges[p][since : since + width]
             edges[r, : len(part)] = part
+            shared[r, 1 : len(part) + 1] = s.logs[p][since : since + width]
             if since:
-                shared[r, 0] = lattices.logq[s.edges[p][:since]].sum()
+                shared[r, 0] = s.logs[p][:since].sum()
         real = np.arange(width) < lengths[:, None]
-        shared[:, 1:] = np.where(real, lattices.logq[edges], 0.0)
-        shared = np.cumsum(shared, axis=1)
+        np.cumsum(shared, axis=1, out=shared)
         mass = np.where(real, shared[:, :-1] + lattices.rest[edges], -np.inf)
         for r, (_, _, _, _, taken) in enumerate(todo):
             if taken:  # at the first place other edges are taken too
@@ -552,8 +596,10 @@ def file_sets(lattices: Lattices, made: list[tuple[_Search, int, float, int, fro
         done = (lengths <= width) | (shared[:, -1] + _GUMBEL_HIGH < least + _GUMBEL_LOW)
         seeds = np.array([(s.seed ^ (0xA5A5 + 7919 * p)) % 2**64 for s, p, *_ in todo], _U)
         places = np.array([since for *_, since, _ in todo])[:, None] + np.arange(width)
-        g = mass - np.log(-np.log(uniforms(seeds[:, None], places.astype(_U) + _U(1 << 40))))
-        best = np.argpartition(-g, keep - 1, axis=1)[:, :keep].tolist()
+        g = np.full((rows, width), -np.inf)
+        row, at = np.nonzero(real & (shared[:, :-1] + _GUMBEL_HIGH >= (least + _GUMBEL_LOW)[:, None]))
+        g[row, at] = mass[row, at] - np.log(-np.log(uniforms(seeds[row], places[row, at].astype(_U) + _U(1 << 40))))
+        best = (np.argpartition(-g, keep - 1, axis=1)[:, :keep] if keep > 1 else g.argmax(axis=1)[:, None]).tolist()
         for r, (s, p, value, since, taken) in enumerate(todo):
             if done[r]:
                 s.file(p, value, since, taken, g[r], best[r])
@@ -571,42 +617,44 @@ def sample_batch(lattices: Lattices, numbers: list[np.ndarray], keys: list[int],
     with np.errstate(over="ignore"):
         seeds = (key ^ (ordinal * _U(0xD6E8FEB86659FD93))) * _U(0xFF51AFD7ED558CCD)
         seeds ^= seeds >> _U(33)
-    start = lattices.start[units] if len(units) else np.empty(0, np.int32)
+    start = lattices.first[lattices.start[units]] if len(units) else np.empty(0, np.int32)
+    seed_of = np.array(keys, _U)
     searches = [_Search(lattices, s) for s in keys]
-    one = lambda s, c: float(uniforms(np.full(1, s, _U), c)[0])
-    opened: list[tuple] = [(i, -math.log(-math.log(one(s, 1 << 50))), None, 0, frozenset(), None, 0) for i, s in enumerate(keys)]
-    nodes = start
+    opened: list[tuple] = [(i, -math.log(-math.log(u)), None, 0, frozenset(), None, 0) for i, u in enumerate(uniforms(seed_of, 1 << 50).tolist())]
+    begin = start
     for n in range(k):
         if n:
-            opened, nodes = [], np.full(len(units), -1, np.int32)
-            for i, s in enumerate(searches):
+            opened, begin = [], np.full(len(units), -1, np.int32)
+            for i, (s, u) in enumerate(zip(searches, uniforms(seed_of, (1 << 51) + n).tolist(), strict=True)):
                 if not s.heap:
                     continue
                 value, path, place, taken = heapq.heappop(s.heap)
                 rest = [e for e in lattices.node_edges(int(s.edges[path][place])) if e not in taken]
                 q = np.cumsum(np.exp(lattices.logq[rest] - lattices.logq[rest].max()))
-                new = rest[min(int(np.searchsorted(q, one(s.seed, (1 << 51) + n) * q[-1], "right")), len(rest) - 1)]
-                unit = int(np.searchsorted(np.cumsum(s.counts[path]), place, "right"))
-                nodes[heads[i] + unit + 1 : heads[i + 1]] = start[heads[i] + unit + 1 : heads[i + 1]]
-                nodes[heads[i] + unit] = lattices.next[new]
+                new = rest[min(int(np.searchsorted(q, u * q[-1], "right")), len(rest) - 1)]
+                unit = int(np.searchsorted(np.cumsum(s.counts[path][: place + 1]), place, "right"))
+                begin[heads[i] + unit + 1 : heads[i + 1]] = start[heads[i] + unit + 1 : heads[i + 1]]
+                begin[heads[i] + unit] = lattices.goto[new]
                 opened.append((i, -value, path, place, taken, new, unit))
         if not opened:
             break
-        edges, counts = lattices.walk(nodes, seeds, n)
+        edges, counts = lattices.walk(begin, seeds, n)
+        logs_of = lattices.logq[edges]
         ends = np.concatenate(([0], np.cumsum(counts)))
         made = []
         for i, value, path, place, taken, new, unit in opened:
             s = searches[i]
             a, b = int(ends[heads[i] + unit]), int(ends[heads[i + 1]])
-            own, count = edges[a:b], counts[heads[i] + unit : heads[i + 1]]
-            weight = float(lattices.logq[own].sum())
+            own, logs, count = edges[a:b], logs_of[a:b], counts[heads[i] + unit : heads[i + 1]]
+            weight = float(logs.sum())
             if path is not None:
-                before = s.edges[path][:place]
+                before = s.logs[path][:place]
                 held = s.counts[path]
                 count = np.concatenate((held[:unit], [place + 1 - int(held[:unit].sum()) + int(count[0])], count[1:]))
-                own = np.concatenate((before, np.array([new], np.int32), own))
-                weight += float(lattices.logq[before].sum() + lattices.logq[new])
-            made.append((s, s.take(own, count, weight), value, place, taken))
+                own = np.concatenate((s.edges[path][:place], np.array([new], np.int32), own))
+                logs = np.concatenate((before, lattices.logq[new : new + 1], logs))
+                weight += float(before.sum() + lattices.logq[new])
+            made.append((s, s.take(own, logs, count, weight), value, place, taken))
         file_sets(lattices, made, k - n)
     out = []
     for s in searches:

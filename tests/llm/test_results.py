@@ -543,6 +543,26 @@ def test_units_met_again_are_not_made_again():
     assert [x.tolist() for x in own.encoded(numbers)] == own.model.encode(texts)
 
 
+def test_a_batch_shares_its_work(monkeypatch):
+    """Random numbers are drawn for all texts of a batch at once; units met most lie first in memory, and samples stay the same."""
+    own, calls, draw = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), memo_edges=20_000), [], pieces.uniforms
+    letters = str.maketrans("0123456789", "oilremsatn")
+    rare = [own.normalised(" ".join(xxhash.xxh64_hexdigest(str(i)).translate(letters) for i in range(n, n + 100))) for n in range(0, 1_000, 100)]
+    common = own.normalised("together")
+    own.numbers(rare[:1])
+    numbers, keys = own.numbers([common] * 200), list(range(200))
+    monkeypatch.setattr(pieces, "uniforms", lambda seed, counter: (calls.append(1), draw(seed, counter))[1])
+    told = lambda numbers: [[(p.tolist(), w, i) for p, (_, w, i) in zip(own.expand([e for e, _, _ in f]), f, strict=True)] for f in pieces.sample_batch(own, numbers, keys, 2)]
+    before = told(numbers)
+    assert len(calls) < 100
+    for text in rare:
+        own.numbers([text])
+    own._keep_hot()
+    numbers = own.numbers([common] * 200)
+    assert own.start[numbers[0][0]] == 0 and own.n_units > 1
+    assert told(numbers) == before
+
+
 def test_tasks_give_their_memory_back():
     """A worker that waits for its next task doesn't hold what the last one took, even below memory still in use."""
     if platform.libc_ver()[0] != "glibc":
