@@ -115,7 +115,7 @@ class VectorIndex:
         if c.use_pca:
             self.fitted.matrix, self.fitted.bias = transform.pca(learnt, x.shape[1], to)
         elif c.use_opq:
-            self.fitted.matrix = train.rotation(x, c.pq_subvec, to, min(n_code, len(x)), seed=seed)
+            self.fitted.matrix = train.rotation(x, c.pq_subvec, to, min(n_code, len(x)), seed=seed, spark=self.spark)
         y = x if self.fitted.matrix is None else x @ self.fitted.matrix.T + (0 if self.fitted.bias is None else self.fitted.bias)
         if c.ivf_lists:
             moved = transform.apply(learnt, self.fitted.matrix, self.fitted.bias, "row_id")
@@ -123,7 +123,7 @@ class VectorIndex:
             if c.pq_subvec:
                 y = y - self.fitted.centroids[train.nearest_centre(y, self.fitted.centroids)[0]]
         if c.pq_subvec:
-            self.fitted.codebook = train.codebook(y, c.pq_subvec, min(n_code, len(y)), seed=seed)
+            self.fitted.codebook = train.codebook(y, c.pq_subvec, min(n_code, len(y)), seed=seed, spark=self.spark)
         return self
 
     # contents

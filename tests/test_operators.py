@@ -104,6 +104,36 @@ def test_codes_and_tables(spark):
         assert sa.keys() == sb.keys() and all(math.isclose(sa[k], sb[k], abs_tol=1e-9) for k in sa)
 
 
+def test_blocks_of_queries_read_stored_codes(spark):
+    """Each block of queries reads the codes, which are made once; values are the tables' sums to the last digit."""
+    x, book, met = RNG.normal(size=(60, 8)) + 1e3, RNG.normal(size=(4, 16, 2)) + 1e3, spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    codes = pq.encode(keys_of(spark, x), book)
+    counted = codes.mapInArrow(count, "row_id long, code array<smallint>")
+    code = np.array([r["code"] for r in codes.orderBy("row_id").collect()])
+    for metric, sign in (("l2", -1), ("ip", 1)):
+        met.value = 0
+        found = pq.nearest_by_table(keys_of(spark, x[:7], "qid"), counted, book, 5, metric, block=2).collect()
+        assert met.value == 60
+        luts = pq.tables_of(x[:7], book, metric)
+        raw = np.zeros((7, 60))
+        for m in range(4):
+            raw += luts[:, m][:, code[:, m]]
+        want = [(q, n + 1, int(i), sign * raw[q, i]) for q in range(7) for n, i in enumerate(np.lexsort((np.arange(60), -sign * raw[q]))[:5])]
+        assert sorted(tuple(r) for r in found) == want
+
+
+def test_sub_spaces_are_fitted_by_tasks_alike(spark):
+    x = RNG.normal(size=(300, 8))
+    assert np.array_equal(train.codebook(x, 4, 16), train.codebook(x, 4, 16, spark=spark))
+    assert np.array_equal(train.rotation(x, 4, 8, 16, 2), train.rotation(x, 4, 8, 16, 2, spark=spark))
+
+
 def test_codebook_round_trip(spark):
     book = RNG.normal(size=(3, 5, 2))
     assert np.array_equal(pq.as_array(pq.as_table(spark, book)), book)
