@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -326,6 +327,48 @@ def test_large_vocabulary_is_joined_alike(spark, monkeypatch):
     assert one == table_of(tokens.token_ids(corpus, vocab), "seq_id", "pos")
 
 
+def test_words_are_cut_alike(spark, monkeypatch):
+    texts = ["", None, "  a b\t\n", "a\x0bb\x0cc\rd", "x\x85y\xa0z\u2003w", "a\x1cb\x1f c", "\u00e9 \u65e5\u672c \u65e5", "one"]
+    want = [r[0] for r in corpus_of(spark, texts).orderBy("seq_id").select(tokens.words("text")).collect()]
+    for size in (1, 1 << 24):
+        monkeypatch.setattr(tokens, "TEXT_BYTES", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        made = []
+        for part in tokens._parts([batch], 0):
+            flat, sizes = tokens._cut(part.column(0))
+            made += tokens._lists(flat, sizes).to_pylist()
+        assert made == want
+
+
+def test_only_words_not_broadcast_are_shuffled(spark, monkeypatch):
+    """A frequent word never leaves its row, and rows of equal ids stay rows of their own."""
+    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 1)
+    seen, completed = [], tokens._completed
+    monkeypatch.setattr(tokens, "_completed", lambda made, rest: (seen.append(made), completed(made, rest))[1])
+    corpus = spark.createDataFrame([(1, "b a b z"), (1, "b c b a"), (2, None), (3, "c y")], "seq_id long, text string")
+    vocab = tokens.vocabulary(corpus, 2)
+    made = table_of(tokens.sequences(corpus, vocab, eos=True), "seq_id", "tokens")
+    assert made == [(1, 5, [4, 5, 4, 3, 2]), (1, 5, [4, 6, 4, 5, 2]), (2, 1, [2]), (3, 3, [6, 3, 2])]
+    assert sorted(w for r in seen[0].collect() for w in r["missed"]) == ["a", "a", "c", "c", "y", "z"]
+
+
+def test_ranks_shuffle_rows_once(spark):
+    """Rows that were dealt by ranges are numbered where they were sorted; only a row for each range is grouped."""
+    rows = spark.range(100).withColumn("x", F.col("id") % 7)
+    plan = ranked(rows, [F.desc("x"), F.col("id")], "r", {"before": "x"})._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 1 and "row_number" not in plan
+
+
+@pytest.mark.parametrize("lengths", [[5, 5, 5, 4, 4, 1, 1, 1], [9, 3, 3, 3, 2, 2, 0, 0, 0], [1] * 9, [7, 6, 5, 4, 3, 2, 1]])
+@pytest.mark.parametrize(("most", "sentences"), [(10, None), (6, 2), (None, 3)])
+def test_widths_of_batches(spark, lengths, most, sentences):
+    made = tokens.in_batches(storage_of(spark, lengths), most, sentences).collect()
+    longest = {}
+    for r in made:
+        longest[r["batch"]] = max(longest.get(r["batch"], 0), r["length"])
+    assert len(made) == len(lengths) and all(r["width"] == longest[r["batch"]] and len(r["tokens"]) == r["length"] for r in made)
+
+
 def test_merge(spark):
     a, b = storage_of(spark, [1, 3]), storage_of(spark, [2, 0])
     whole = table_of(tokens.merge(a, b).drop("tokens"), "slot")
