@@ -47,6 +47,11 @@ def _storage(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -
     return tokens.storage(_sequences(spark, sf_dir, vocab=vocab))
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storage without its tokens, for what follows from lengths alone: no vocabulary is made."""
+    return tokens.storage(tokens.lengths(corpus(spark, sf_dir), eos=True))
+
+
 def digest(ids: Column | str) -> Column:
     """A sequence of ids as a hash of its text."""
     ids = F.col(ids) if isinstance(ids, str) else ids
@@ -71,7 +76,7 @@ def token_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row ids of each sentence: how many, their ends, and a hash of all."""
-    rows = _storage(spark, sf_dir).select("seq_id", sequences.interval("begin", "end").alias("rows"))
+    rows = _places(spark, sf_dir).select("seq_id", sequences.interval("begin", "end").alias("rows"))
     return rows.select("seq_id", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0)).alias("first"), F.try_element_at("rows", F.lit(-1)).alias("last"), digest("rows").alias("rows"))
 
 
@@ -101,12 +106,12 @@ def ignore_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.batches(_storage(spark, sf_dir), MAX_TOKENS, MAX_SENTENCES)
+    return tokens.batches(_places(spark, sf_dir), MAX_TOKENS, MAX_SENTENCES)
 
 
 def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each sentence in its batch and back: the longest text first, ties by id."""
-    rows = tokens.batches(_storage(spark, sf_dir), MAX_TOKENS, MAX_SENTENCES).select("batch", "seq_id", "length")
+    rows = tokens.batches(_places(spark, sf_dir), MAX_TOKENS, MAX_SENTENCES).select("batch", "seq_id", "length")
     by_length = Window.partitionBy("batch").orderBy(F.desc("length"), "seq_id")
     by_id = Window.partitionBy("batch").orderBy("seq_id")
     return rows.select("batch", "seq_id", (F.row_number().over(by_length) - 1).cast("long").alias("place"), (F.row_number().over(by_id) - 1).cast("long").alias("orig_order"))
@@ -123,7 +128,7 @@ def non_pad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw texts beside the stored sentences, where the benchmark has an item of that number."""
     raw = T.table(spark, sf_dir, "benchmark").selectExpr("item_id AS seq_id", "text")
-    rows = _storage(spark, sf_dir).select("seq_id", "slot")
+    rows = _places(spark, sf_dir).select("seq_id", "slot")
     return stores.with_raw(rows, raw).select("seq_id", "slot", F.trim("sentence").alias("sentence"))
 
 

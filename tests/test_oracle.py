@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from nearmix import catalog
+from nearmix.operators import tokens
 from nearmix.plans import tables as T
 from oracle import compare, connect
 
@@ -27,6 +28,19 @@ def test_queries_without_sql():
     assert set(catalog.queries()) - set(SQL) == {"pca_transform", "kmeans_ivf_topk", "opq_topk"}
 
 
+@pytest.mark.parametrize("name", ["batch_sampler", "token_intervals", "batch_order", "raw_sentences"])
+def test_lengths_need_no_vocabulary(spark, con, name, monkeypatch):
+    monkeypatch.setattr(tokens, "vocabulary", None)
+    assert not compare(catalog.queries()[name](spark, SF), con, SQL[name])
+
+
+@pytest.mark.parametrize("name", ["non_pad_counts", "pad_sequences"])
+def test_tokens_stay_in_their_rows(spark, name):
+    """Counts are taken, and widths known, without a row a token or a join of sentences to their batches."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
+
+
 def _vectors(spark):
     rows = sorted(T.keys(spark, SF).collect(), key=lambda r: r["row_id"])
     return np.array([r["row_id"] for r in rows]), np.array([r["vec"] for r in rows], float)
