@@ -92,12 +92,9 @@ def shift_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pad_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences padded to the longest of their batch; padding beyond the end is counted, not told."""
-    stored = _storage(spark, sf_dir)
-    dealt = tokens.batches(stored, MAX_TOKENS, MAX_SENTENCES)
-    longest = dealt.groupBy("batch").agg(F.max("length").alias("width"))
-    joined = stored.select("seq_id", "tokens").join(dealt.select("seq_id", "batch"), "seq_id").join(longest, "batch")
+    dealt = tokens.in_batches(_storage(spark, sf_dir), MAX_TOKENS, MAX_SENTENCES)
     filled = sequences.padded("tokens", F.col("width"), tokens.PAD)
-    return joined.select("seq_id", "batch", F.col("width").cast("long").alias("width"), digest(filled).alias("padded"))
+    return dealt.select("seq_id", "batch", "width", digest(filled).alias("padded"))
 
 
 def ignore_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
