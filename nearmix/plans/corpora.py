@@ -116,10 +116,9 @@ def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def non_pad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real tokens and unknown ones of each sequence."""
-    each = F.posexplode("tokens").alias("pos", "token_id")
-    rows = _sequences(spark, sf_dir).select("seq_id", each)
-    real = F.count_if(F.col("token_id") != tokens.PAD)
-    return rows.groupBy("seq_id").agg(real.alias("n_tokens"), F.count_if(F.col("token_id") == tokens.UNK).alias("n_unknown"))
+    without = lambda t: F.size(F.array_remove("tokens", F.lit(t))).cast("long")
+    rows = _sequences(spark, sf_dir).select("seq_id", without(tokens.PAD).alias("n"), (F.size("tokens") - without(tokens.UNK)).alias("u"))
+    return rows.groupBy("seq_id").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unknown"))
 
 
 def raw_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
