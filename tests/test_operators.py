@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,22 @@ def test_best_over_slices(n, k, size, seed):
         assert best.rows[i][: len(order)].tolist() == order.tolist()
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_memory_of_a_slice_does_not_grow_with_the_block(metric):
+    x = RNG.integers(-3, 4, (1024, 8)).astype(float)
+    most = []
+    for n in (512, 4096):
+        q, best = RNG.integers(-3, 4, (n, 8)).astype(float), Best(n, 4)
+        tracemalloc.start()
+        offer_slice(best, x, np.arange(1024), q, metric)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        i = n - 1
+        d = ((q[i] - x) ** 2).sum(1) if metric == "l2" else -(x @ q[i])
+        assert best.rows[i].tolist() == np.lexsort((np.arange(1024), d))[:4].tolist()
+    assert most[1] < 1.5 * most[0]
+
+
 def test_normalized(spark):
     rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None)], "row_id long, vec array<float>")
     assert table_of(rows.select("row_id", V.normalized("vec")), "row_id") == [(0, [0.6, 0.8]), (1, [0.0, 0.0]), (2, None)]
